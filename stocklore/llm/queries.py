@@ -16,7 +16,38 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return material_groups(_read(spark, sf, "feedback_event"), _read(spark, sf, "material_description_corpus"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .canonical_values import mapped_rows
+
+    units = mapped_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "unit", _read(spark, sf, "unit_normalisation"), "surface_form")
+    grades = _read(spark, sf, "material_attributes").where("attribute_name = 'grade'")
+    tokens = mapped_rows(grades, "attribute_id", "value", _read(spark, sf, "material_grades"), "grade_token")
+    return units.unionByName(tokens).select("entry_id", "reference_entry")
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    from .canonical_values import mapped_rows
+
+    rows = mapped_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "unit", _read(spark, sf, "unit_normalisation"), "surface_form")
+    return rows.where("reference_entry = '-'").groupBy("value").agg(F.count("*").alias("rows"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .encoding_repair import garbled_rows
+
+    return garbled_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "description").select("corpus_id")
+
+
+def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
+    from .encoding_repair import garbled_rows
+
+    corpus = _read(spark, sf, "material_description_corpus")
+    noted = _read(spark, sf, "data_quality_report").groupBy("source_path").agg(F.min(F.lower("encoding")).alias("noted_encoding"))
+    rows = garbled_rows(corpus, "corpus_id", "description").join(corpus.select("corpus_id", F.col("document_url").alias("source_path")), "corpus_id")
+    return rows.join(noted, "source_path", "left")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_unmatched, p7_found, p7_restored)}
 ORACLES: dict[str, str] = {}
 ORACLES["p1_found"] = """
 WITH RECURSIVE k AS (
