@@ -16,6 +16,18 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return material_groups(_read(spark, sf, "feedback_event"), _read(spark, sf, "material_description_corpus"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .format_duplicates import format_copies
+
+    return format_copies(_read(spark, sf, "material_description_corpus"), "corpus_id", "description", "tender_reference")
+
+
+def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
+    from .format_duplicates import collapsed
+
+    return collapsed(_read(spark, sf, "material_description_corpus"), "corpus_id", "description", "tender_reference")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     from .canonical_values import mapped_rows
 
@@ -47,7 +59,7 @@ def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(noted, "source_path", "left")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_unmatched, p7_found, p7_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p6_found, p6_unmatched, p7_found, p7_restored)}
 ORACLES: dict[str, str] = {}
 ORACLES["p1_found"] = """
 WITH RECURSIVE k AS (
