@@ -20,5 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def durable(df: DataFrame) -> DataFrame:
     """``df``, computed once and read back from the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # a checkpoint keeps the plan's constraints; over many rounds of joins these grow without bound on the driver
+    kept = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", kept)
