@@ -59,7 +59,42 @@ def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(noted, "source_path", "left")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p6_found, p6_unmatched, p7_found, p7_restored)}
+CAPACITY = 2048
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    from .tokens import token_count
+
+    return _read(spark, sf, "documents").withColumn("n_tokens", token_count(F.col("text")))
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.durable import durable
+    from .packing import pack
+
+    return pack(durable(_sized(spark, sf).select("doc_id", "n_tokens")), CAPACITY)
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    from .packing import fill_report
+
+    return fill_report(p8_packed(spark, sf), CAPACITY)
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.durable import durable
+    from .mixture import mixture
+
+    return mixture(durable(_sized(spark, sf).select("doc_id", "source", "text", "n_tokens")), _read(spark, sf, "source_weights"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    from .mixture import shares
+
+    return shares(p9_mixture(spark, sf).drop("text"), _read(spark, sf, "source_weights"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p6_found, p6_unmatched, p7_found, p7_restored, p8_packed, p8_report, p9_mixture, p9_shares)}
 ORACLES: dict[str, str] = {}
 ORACLES["p1_found"] = """
 WITH RECURSIVE k AS (
