@@ -94,7 +94,25 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(p9_mixture(spark, sf).drop("text"), _read(spark, sf, "source_weights"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p6_found, p6_unmatched, p7_found, p7_restored, p8_packed, p8_report, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .sentences import sentences
+
+    return sentences(_read(spark, sf, "documents"), with_text=False).select("doc_id", "end_char")
+
+
+def p10_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    from .sentences import sentences
+
+    return sentences(_read(spark, sf, "documents"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .product_groups import product_groups
+
+    return product_groups(_read(spark, sf, "material_description_corpus"), _read(spark, sf, "material_grades"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p4_found, p6_found, p6_unmatched, p7_found, p7_restored, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_sentences)}
 ORACLES: dict[str, str] = {}
 ORACLES["p1_found"] = """
 WITH RECURSIVE k AS (

@@ -110,7 +110,10 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         if kind == "number" and re.search(r"[a-zà-ÿ]{3,}[.!?]\s+\S", raw):
             kind = "text"
         if kind == "text" and not open_line and not _END.search(raw):
-            nxt = lines[k + 1][2] if k + 1 < len(lines) and kinds[k + 1] == "text" else None
+            then = kinds[k + 1] if k + 1 < len(lines) else ""
+            nxt = lines[k + 1][2] if then == "text" else "A" if then == "number" else None
+            if then in ("list", "row") and not _THAI.search(raw) and not _inner(raw):
+                kind = "head"
             if nxt is not None and _is_heading(raw, nxt) and not _inner(raw):
                 kind = "head"
         if kind != "text":
