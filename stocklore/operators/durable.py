@@ -1,31 +1,45 @@
-"""Lineage cuts that survive the loss of an executor."""
+"""Lineage cuts that survive the loss of an executor.
+
+A cut is a written table in the folder that the cluster names in ``spark.checkpoint.dir``.
+Unlike a checkpointed plan it carries no constraints or partitionings along, which over
+many rounds of joins grow without bound on the driver, and its size is known to the planner.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``. Only where none is set (local tests) a temporary folder stands in."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Only where none is set (local tests) a temporary folder stands in."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stocklore-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once and read back from the shared checkpoint folder."""
+    """``df``, computed once into the shared folder and read back from there."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # a checkpoint keeps the plan's constraints; over many rounds of joins these grow without bound on the driver
-    kept = spark.conf.get("spark.sql.constraintPropagation.enabled")
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.constraintPropagation.enabled", kept)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stocklore_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a ``durable`` result that nothing will read again."""
+    path = getattr(df, "_stocklore_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
