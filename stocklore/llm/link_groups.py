@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.durable import durable
+from ..operators.durable import durable, release
 
 
 def record_key(c: Column) -> Column:
@@ -22,15 +22,15 @@ def record_key(c: Column) -> Column:
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Pointer jumping until every node points at a root."""
+    """Pointer jumping, written after each round, until every node points at a root."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = durable(
-            parents.join(up, "parent", "left")
-            .select("node", F.coalesce("grand", "parent").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved"))
-        )
-        parents = jumped.select("node", "parent")
-        if jumped.where("moved").isEmpty():
+        jumped = parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved"))
+        jumped = durable(jumped)
+        done = jumped.where("moved").isEmpty()
+        release(parents)
+        parents = jumped
+        if done:
             return parents
 
 
@@ -40,28 +40,27 @@ def consolidate(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Pairs with a null side and pairs of a record with itself link nothing; repeated
     pairs count once; an empty input gives an empty result; other columns are ignored.
     """
-    edges = durable(
-        pairs.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col(a).isNotNull().alias("_a"), F.col(b).isNotNull().alias("_b"))
-        .where("_a and _b and lo <> hi").select("lo", "hi").distinct()
-    )
+    sides = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null and _a <> _b")
+    edges = durable(sides.select(F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi")).distinct())
     levels: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("near")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("near")))
-        parents = _jump(durable(both.groupBy("node").agg(F.min("near").alias("parent"))))
+        ends = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("near")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("near"))))
+        near = edges.select(ends.alias("e")).groupBy(F.col("e.node").alias("node")).agg(F.min("e.near").alias("parent"))
+        parents = _jump(durable(near))
         levels.append(parents)
-        to = parents.withColumnRenamed("node", "lo").withColumnRenamed("parent", "p_lo")
-        from_ = parents.withColumnRenamed("node", "hi").withColumnRenamed("parent", "p_hi")
-        edges = durable(
-            edges.join(to, "lo").join(from_, "hi").where("p_lo <> p_hi")
-            .select(F.least("p_lo", "p_hi").alias("lo"), F.greatest("p_lo", "p_hi").alias("hi")).distinct()
-        )
+        lo = parents.select(F.col("node").alias("lo"), F.col("parent").alias("p_lo"))
+        hi = parents.select(F.col("node").alias("hi"), F.col("parent").alias("p_hi"))
+        contracted = edges.join(lo, "lo").join(hi, "hi").where("p_lo <> p_hi").select(F.least("p_lo", "p_hi").alias("lo"), F.greatest("p_lo", "p_hi").alias("hi")).distinct()
+        contracted = durable(contracted)
+        release(edges)
+        edges = contracted
     if not levels:
         return edges.select(F.col("lo").alias("node"), F.col("lo").alias("label"))
-    labels = levels.pop().withColumnRenamed("parent", "label")
+    labels = levels.pop().select("node", F.col("parent").alias("label"))
     while levels:
-        below = levels.pop()
-        top = labels.withColumnRenamed("node", "parent")
-        labels = below.join(top, "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
+        # the labels of a level's roots are the level above's; its other roots keep their own
+        top = labels.select(F.col("node").alias("parent"), "label")
+        labels = durable(levels.pop().select("node", "parent").join(top, "parent", "left").select("node", F.coalesce("label", "parent").alias("label")))
     return labels
 
 
