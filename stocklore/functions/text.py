@@ -29,3 +29,29 @@ def amount_of(c: Column) -> Column:
 def rest_of(c: Column) -> Column:
     """What follows the leading number of a quantity text."""
     return F.regexp_extract(c, "(?s)" + AMOUNT, 2)
+
+
+def folded(c: Column) -> Column:
+    """Lower case with sharp s unfolded, every run of blanks one space, no outer blanks (null stays null)."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), BLANKS, " "))
+
+
+def clean_text(c: Column) -> Column:
+    """Text without outer blanks; null becomes empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first value that isn't blank, trimmed; empty text if all are."""
+    return F.coalesce(*[F.nullif(clean_text(c), F.lit("")) for c in columns], F.lit(""))
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case runs of ASCII letters and digits, in order, with repeats."""
+    return F.regexp_extract_all(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def finite_number(c: Column) -> Column:
+    """DOUBLE of a number text with commas left out; null where it isn't a finite number."""
+    v = F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
