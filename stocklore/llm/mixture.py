@@ -2,9 +2,9 @@
 
 Each document's number of copies inverts a Poisson distribution at a uniform number
 hashed from its id, so a rerun or a lost executor gives the same mixture. A source's
-mean is its target repetition rate, capped at its allowed repeats; the means are then
-calibrated in one pass over all documents so that the tokens drawn meet the target
-shares. Documents are exploded by their counts and shuffled globally by a hash.
+mean is its target repetition rate, capped at its allowed repeats; rates and hash seeds
+are then calibrated in two passes of sums over all documents, so that the tokens drawn
+meet the target shares even where a few long documents make up much of a source. Documents are exploded by their counts and shuffled globally by a hash.
 Only sums by source (one row a source) reach the driver.
 """
 
@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRID = 48
-
 
 def _capped_mean(lam: float, cap: int) -> float:
     """Mean of a Poisson number that is cut at ``cap``."""
@@ -39,7 +37,7 @@ def rate_for(mean: float, cap: int) -> float:
     return (lo + hi) / 2
 
 
-def uniform(seed: int, *keys: str) -> Column:
+def uniform(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) hashed from the keys."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
@@ -68,13 +66,19 @@ def plan(sized: DataFrame, weights: DataFrame, headroom: float, seed: int) -> pd
     total = float((have.available * have.cap * headroom / share).min())
     have["wanted"] = share * total
     have["rate"] = [rate_for(w / a, int(c)) for w, a, c in zip(have.wanted, have.available, have.cap)]
-    for width in (0.3, 0.02):
-        factors = np.linspace(1 - width, 1 + width, GRID)
-        rates = sized.sparkSession.createDataFrame(have[["source", "rate", "cap"]])
-        drawn = sized.join(F.broadcast(rates), "source").withColumn("_u", uniform(seed, "doc_id"))
-        sums = drawn.groupBy("source").agg(*[F.sum(F.col("n_tokens") * poisson_inverse(F.col("_u"), F.col("rate") * float(f), F.col("cap"))).alias(f"f{i}") for i, f in enumerate(factors)]).toPandas().set_index("source")
-        table = sums.loc[have.source].to_numpy(float)
-        have["rate"] *= factors[np.abs(table - have.wanted.to_numpy()[:, None]).argmin(axis=1)]
+    have["draw"] = 0
+    for width, steps, draws in ((0.2, 9, range(4)), (0.03, 25, None)):
+        factors = np.linspace(1 - width, 1 + width, steps)
+        rates = sized.sparkSession.createDataFrame(have[["source", "rate", "cap", "draw"]])
+        drawn = sized.join(F.broadcast(rates), "source")
+        tried = [(int(d), float(f)) for d in (draws or [0]) for f in factors]
+        numbers = {d: uniform(seed, F.col("draw") + d, "doc_id") for d in draws or [0]}
+        sums = drawn.groupBy("source").agg(*[F.sum(F.col("n_tokens") * poisson_inverse(numbers[d], F.col("rate") * f, F.col("cap"))).alias(f"t{i}") for i, (d, f) in enumerate(tried)]).toPandas().set_index("source")
+        # nearest to the wanted tokens; of equally near ones that with the least change
+        off = np.abs(sums.loc[have.source].to_numpy(float) - have.wanted.to_numpy()[:, None]) / have.wanted.to_numpy()[:, None]
+        pick = (np.round(off, 4) + 1e-6 * np.array([abs(f - 1) + 0.01 * d for d, f in tried])).argmin(axis=1)
+        have["draw"] += np.array([d for d, _ in tried])[pick]
+        have["rate"] *= np.array([f for _, f in tried])[pick]
     return have
 
 
@@ -88,8 +92,8 @@ def mixture(documents: DataFrame, weights: DataFrame, headroom: float = 0.6, see
     rates = plan(usable.select("doc_id", "source", "n_tokens"), weights.select("source", "target_share", "max_repeats"), headroom, seed)
     if not len(rates):
         return usable.limit(0).select("doc_id", F.lit(1).alias("copy"), "source", "n_tokens", F.lit(0).cast("bigint").alias("order_key"), "text")
-    table = usable.sparkSession.createDataFrame(rates[["source", "rate", "cap"]])
-    counted = usable.join(F.broadcast(table), "source").withColumn("_n", poisson_inverse(uniform(seed, "doc_id"), F.col("rate"), F.col("cap"))).where("_n > 0")
+    table = usable.sparkSession.createDataFrame(rates[["source", "rate", "cap", "draw"]])
+    counted = usable.join(F.broadcast(table), "source").withColumn("_n", poisson_inverse(uniform(seed, F.col("draw"), "doc_id"), F.col("rate"), F.col("cap"))).where("_n > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     mixed = copies.withColumn("order_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy"))
     return mixed.select("doc_id", "copy", "source", "n_tokens", "order_key", "text").repartitionByRange("order_key").sortWithinPartitions("order_key")

@@ -29,6 +29,7 @@ from . import product_lexicon as lex
 from .product_parse import ListingParser
 
 SLOTS = ("kind", "model", "grade", "length", "pressure", "power", "mass", "volume", "voltage", "current", "cores", "form", "finish", "sheath")
+OPTIONAL = ("form", "finish", "sheath")
 SUPPORT = 2e-4  # a mined phrase names at least this share of the trusted listings: at most 1 / SUPPORT x fields phrases
 PURITY = 0.9
 
@@ -102,7 +103,7 @@ def _anchors(prefix: str = "") -> Column:
     return F.array_compact(F.array(*made))
 
 
-def product_groups(rows: DataFrame, grades: DataFrame, key: str = "corpus_id", text: str = "description", hint: str = "item_type_hint", reference: str | None = None) -> DataFrame:
+def product_groups(rows: DataFrame, grades: DataFrame, key: str = "corpus_id", text: str = "description", hint: str = "item_type_hint") -> DataFrame:
     """(``first_id``, ``listing_id``) for each listing but the smallest of its product.
 
     ``key`` must be unique. Null, blank and administrative texts are no listings; a listing
@@ -123,8 +124,17 @@ def product_groups(rows: DataFrame, grades: DataFrame, key: str = "corpus_id", t
     both = sum((F.when(F.col(s).isNotNull() & F.col(f"{s}_2").isNotNull(), 1).otherwise(0) for s in SLOTS), F.lit(0))
     met = left.join(right, "_a").where((conflicts == 0) & (both >= 5)).select("_g", "g2").distinct()
     joined = met.groupBy("_g").agg(F.count("*").alias("_k"), F.min("g2").alias("_to")).where("_k = 1").select("_g", "_to")
-    heads = marked.join(joined, "_g", "left").select(*SLOTS, "_first", F.coalesce("_to", "_g").alias("_p"))
-    first = heads.groupBy("_p").agg(F.min("_first").alias("first_id"), F.sum(F.lit(1)).alias("_m"))
-    slots_key = F.xxhash64(*[F.coalesce(s, F.lit("")) for s in SLOTS]), F.md5(F.concat_ws("\x01", *[F.coalesce(s, F.lit("")) for s in SLOTS]))
-    named = heads.join(first, "_p").select(slots_key[1].alias("_h"), "first_id")
-    return listed.select("_id", slots_key[1].alias("_h")).join(named, "_h").where("_id <> first_id").select("first_id", F.col("_id").alias("listing_id"))
+    placed = marked.join(joined, "_g", "left")
+    # listings without a complete product meet each other: same item, code, grade and measures, no optional value contradicted
+    core = [s for s in SLOTS if s not in OPTIONAL]
+    alone = placed.where("not _full and _to is null and kind is not null and model is not null").withColumn("_c", F.xxhash64(*[F.coalesce(s, F.lit("")) for s in core]))
+    firm = F.lit(True)
+    for s in OPTIONAL:
+        firm = firm & F.coalesce(F.min(s) == F.max(s), F.lit(True))
+    met_alone = alone.groupBy("_c").agg(F.min("_g").alias("_with"), firm.alias("_firm"), F.count("*").alias("_k")).where("_firm and _k > 1")
+    paired = alone.select("_g", "_c").join(met_alone, "_c").select("_g", "_with")
+    heads = placed.join(paired, "_g", "left").select(*SLOTS, "_first", F.coalesce("_to", "_with", "_g").alias("_p"))
+    first = heads.groupBy("_p").agg(F.min("_first").alias("first_id"))
+    slots_key = F.md5(F.concat_ws("\x01", *[F.coalesce(s, F.lit("")) for s in SLOTS]))
+    named = heads.join(first, "_p").select(slots_key.alias("_h"), "first_id")
+    return listed.select("_id", slots_key.alias("_h")).join(named, "_h").where("_id <> first_id").select("first_id", F.col("_id").alias("listing_id"))

@@ -15,7 +15,8 @@ _MEASURE = re.compile(r"(?<![\w.,])(\d+(?:,\d{3})*(?:\.\d+)?)[\s-]*(" + "|".join
 _MODEL = re.compile(r"\b(?:series|type|model|sr)\b[\s.:#-]*([a-z0-9])[-/. ]?([0-9a-z]{3})\b")
 _GRADE = re.compile(r"(?<![a-z0-9])([a-z]{2,3})[-/. ]?(\d[0-9a-z]{2,4})\b")
 _CORES = re.compile(r"\b(\d+|" + "|".join(lex.CORE_WORDS) + r")[\s-]*cores?\b")
-_ORDER = re.compile(r"\b(?:qty|quantity|required|reqd|requirement qty|order qty)\b")
+_ORDER = re.compile(r"\b(?:qty|quantity|required|reqd)\b")
+_STATEMENT = re.compile(r"\b(?:(?:order|total|required|reqd)\s+)?(?:qty|quantity)(?:\s+(?:required|reqd))?[\s.:=-]*\+?[\d.,]+\s*[a-z.]*\d?|\+?[\d.,]+\s*[a-z.]+\d?(?:\s+(?:metre|nos))?\s+(?:required|reqd)\b")
 _HIDDEN = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
 _WORDS = re.compile(r"[a-z][a-z/]*")
 _DIGITS = str.maketrans("oqdilzsb", "00011258")
@@ -113,7 +114,10 @@ class ListingParser:
             text = unicodedata.normalize("NFKC", text).translate(_HIDDEN)
         slots: dict[str, str] = {}
         odd: list[str] = []
-        parts = segments(text.lower())
+        text = text.lower()
+        if _ORDER.search(text):
+            text = _STATEMENT.sub(" ", text)  # the ordered quantity is no measure of the item
+        parts = segments(text)
         for s in parts:
             found = self.memo.get(s)
             if found is None:
