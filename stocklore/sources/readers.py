@@ -12,6 +12,7 @@ from ..operators.reject_rows import FEED_COLUMNS
 # Fixed value: the first bytes of a file that only points at large-file storage.
 POINTER = b"version https://git-lfs.github.com/spec/v1"
 PROBE_BYTES = 1 << 20
+WESTERN = tuple("".join(x) for x in zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
 CORPUS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in FEED_COLUMNS])
 
 # Accepted column names of enterprise exports, best first.
@@ -47,13 +48,16 @@ def probe_encoding(spark: SparkSession, path: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header, every column STRING, quoted line breaks allowed, doubled quotes; the encoding is probed unless given."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding=encoding or probe_encoding(spark, path), inferSchema=False, ignoreLeadingWhiteSpace=False)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    encoding = encoding or probe_encoding(spark, path)
+    western = encoding.lower() in ("windows-1252", "cp1252")  # not among the reader's own: read byte for byte, then mapped
+    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding="iso-8859-1" if western else encoding, inferSchema=False)
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return rows.select(*[F.translate(F.col(f"`{c}`"), *WESTERN).alias(c.translate(str.maketrans(*WESTERN))) for c in rows.columns]) if western else rows
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Enterprise exports with varying column names: canonical columns, ``source`` file and ``metadata`` map of what remains."""
-    raw = read_csv(spark, path).withColumn("source", F.col("_metadata.file_path"))
+    raw = read_csv(spark, path).withColumn("source", F.input_file_name())
     low = {c.lower(): c for c in raw.columns}
     used = {low[a] for names in EXPORT_ALIASES.values() for a in names if a in low} | {"source"}
     pick = lambda names: first_filled(*[F.col(low[n]) for n in names if n in low]) if any(n in low for n in names) else F.lit("")

@@ -15,21 +15,26 @@ def feed_stream(spark: SparkSession, folder: str, schema: T.StructType, per_trig
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def _timed(events: DataFrame, time: str, lateness: str) -> DataFrame:
+    """Events with a watermark; times without a zone count as the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+
+
 def first_arrivals(events: DataFrame, key: str, time: str, lateness: str = "1 hour") -> DataFrame:
     """Events without repeats of a key; state older than the watermark is dropped. Null keys are one key."""
-    return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+    return _timed(events, time, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, width: str = "1 hour", slide: str | None = None, lateness: str = "2 hours") -> DataFrame:
     """Rows and sum of ``value`` by window and key; works on batches too. Null times fall in no window."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    counted = events.withWatermark(time, lateness).groupBy(window.alias("w"), F.col(by)).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    counted = _timed(events, time, lateness).groupBy(window.alias("w"), F.col(by)).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by, "events", "value")
 
 
 def sessions(events: DataFrame, time: str, by: str, gap: str = "30 minutes", lateness: str = "2 hours") -> DataFrame:
     """Activity sessions of a key: start, end (last event plus gap), events."""
-    counted = events.withWatermark(time, lateness).groupBy(F.session_window(time, gap).alias("w"), F.col(by)).agg(F.count("*").alias("events"))
+    counted = _timed(events, time, lateness).groupBy(F.session_window(time, gap).alias("w"), F.col(by)).agg(F.count("*").alias("events"))
     return counted.select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
