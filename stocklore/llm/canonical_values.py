@@ -87,6 +87,8 @@ class Index:
         bag = grams(key)
         norm = math.sqrt(sum((n * self.idf.get(g, self.unseen)) ** 2 for g, n in bag.items()))
         scores: dict[int, float] = defaultdict(float)
+        if not norm:
+            return []
         for g, n in bag.items():
             w = n * self.idf.get(g, 0.0) / norm
             for i, x in self.postings.get(g, ()):
@@ -104,9 +106,7 @@ class Index:
         words = re.findall(r"[^\W_]+", plain)
         kept = [w for w in words if w not in _FILLERS] or words
         spans = {"".join(kept)} | {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words)} if len(words) <= 6 else {"".join(kept)}
-        exact = [x for x in spans if x in self.exact and (len(x) > 2 or "".join(kept) == x)]
-        if exact:
-            return self.exact[max(exact, key=len)], 0.99, 0.0
+        exact = max((x for x in spans if x in self.exact and (len(x) > 2 or "".join(kept) == x)), key=len, default="")
         found: list[tuple[float, float, str]] = []
         for span in {"".join(kept), whole}:
             most = 1.0 if len(span) < 6 else 2.0 if len(span) < 10 else 3.0  # edits that leave a value recognisable
@@ -120,9 +120,11 @@ class Index:
                     found.append((d, -cosine, key))
                 elif cosine >= max(0.75, bar) and d <= most + 1:
                     found.append((d, -cosine, key))
+        d, c, key = min(found, default=(9.0, 0.0, ""))
+        if exact and len(key) <= len(exact):
+            return self.exact[exact], 0.99, 0.0
         if not found:
             return None, 0.0, 9.0
-        d, c, key = min(found)
         return self.exact[key], -c, d
 
 

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 PAGES = ("cp1252", "cp1251", "cp850", "cp437", "mac_roman")
 
 # Ranges of two-byte characters that a text may be meant to hold (Latin, Greek, Cyrillic, Hebrew, Arabic).
-_SCRIPTS = (("\xa0", "ɏ"), ("Ͱ", "џ"), ("֐", "ۿ"))
+_SCRIPTS = (("\x80", "ɏ"), ("Ͱ", "џ"), ("֐", "ۿ"))
 
 _BOX = re.compile("[─-▟�\x80-\x9f]")
 _RUN = re.compile("[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\s​][^\s,;|]*")
-_ALL_ACCENTED = re.compile("(?<![A-Za-zÀ-ÿ])[À-ÖÙ-öù-ÿ]{3,}(?![A-Za-zÀ-ÿ])")
+_ALL_ACCENTED = re.compile("(?<![A-Za-zÀ-ÿ])[À-ÖØ-öø-ÿ]{3,}(?![A-Za-zÀ-ÿ])")
 _GLUED = re.compile("[^\\W\\d_µ][¢¤-¨¬¯³´¶¸¼-¾][^\\W\\d_]|[A-Za-zÀ-ɏ]«(?!\\s*\\w)|(?<![^\\s,;|])[À-×Ù-÷ù-ÿ]\\d|(?<!\\d)(?<!\\d )¢(?! ?\\d)")
 
 
@@ -47,8 +47,14 @@ def _byte_table(page: str) -> dict[str, int]:
 
 
 def _alternatives(page: str) -> dict[str, tuple[int, ...]]:
-    """Character -> the bytes it may have come from, its own first, then that of its other case."""
+    """Character -> the bytes it may have come from, its own first, then that of its other case.
+
+    Only the Windows pages get other cases: in the others letters of both cases lie among the
+    continuation bytes, and ordinary accented words would look like sequences.
+    """
     own = _byte_table(page)
+    if page not in ("cp1252", "cp1251"):
+        return {c: (b,) for c, b in own.items()}
     out: dict[str, list[int]] = {}
     for c, b in own.items():
         out.setdefault(c, []).insert(0, b)
@@ -67,13 +73,14 @@ TABLES = {p: _alternatives(p) for p in PAGES}
 
 def _well_formed(text: str, i: int, table: dict[str, tuple[int, ...]]) -> bytes | None:
     """The automaton: bytes of one multibyte sequence that starts at ``i``, own bytes before other-case bytes, or None."""
-    for lead in table.get(text[i], ()):
+    for k, lead in enumerate(table.get(text[i], ())):
         n = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
         if not n or i + n > len(text):
             continue
         seq = [lead]
         for c in text[i + 1 : i + n]:
-            tail = [b for b in table.get(" " if c == "\xa0" and " " in table else c, (0xA0,) if c in "\xa0 " and n > 2 else ()) if 0x80 <= b <= 0xBF]
+            blank = (0xA0,) if c == " " and n > 2 and not k and "\x81" in table else ()  # a no-break blank that became a plain one
+            tail = [b for b in table.get(c, blank) if 0x80 <= b <= 0xBF]
             if not tail:
                 break
             seq.append(tail[0])
@@ -83,26 +90,30 @@ def _well_formed(text: str, i: int, table: dict[str, tuple[int, ...]]) -> bytes
                 c = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if n > 2 or any(lo <= c <= hi for lo, hi in _SCRIPTS):
+            if n == 4 or (n == 3 and not "\ue000" <= c <= "\uf8ff") or any(lo <= c <= hi for lo, hi in _SCRIPTS):
                 return raw
     return None
 
 
 def _spans(text: str, page: str) -> tuple[str, int]:
-    """``text`` with the well-formed spans of one code page decoded, and how many characters these held."""
+    """``text`` with the maximal well-formed spans of one code page decoded, and how many characters these held.
+
+    In the Cyrillic page a lone pair of letters is ordinary spelling; only runs of sequences count there.
+    """
     table = TABLES[page]
     out, i, held = [], 0, 0
     while i < len(text):
-        raw = _well_formed(text, i, table) if text[i] > "\x7f" else None
-        if raw:
-            decoded = raw.decode("utf-8")
-            if page == "cp1251" and "Ѐ" <= text[i] <= "џ" and "Ѐ" <= text[i + 1] <= "џ" and "Ѐ" <= decoded <= "џ":
-                raw = None  # ordinary Cyrillic letters, not a lead and its tail
-        if raw:
-            out.append(decoded)
+        start, raws = i, []
+        while i < len(text) and text[i] > "\x7f" and (raw := _well_formed(text, i, table)):
+            raws.append(raw)
             i += len(raw)
-            held += len(raw)
-        else:
+        lone = len(raws) == 1 and page == "cp1251" and all("Ѐ" <= c <= "џ" for c in text[start:i] + raws[0].decode("utf-8"))
+        if lone:
+            out.append(text[start:i])
+        elif raws:
+            out.append(b"".join(raws).decode("utf-8"))
+            held += i - start
+        if not raws:
             out.append(text[i])
             i += 1
     return "".join(out), held
@@ -126,16 +137,22 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """(garbled, restored text, wholly restored). Null and ASCII texts are sound; unrecoverable characters stay as they are."""
     if not text or text.isascii():
         return False, text, True
-    garbled = False
-    now = text
+    garbled, now = False, text
     for _ in range(3):
         best = max(((p, *_spans(now, p)) for p in PAGES), key=lambda x: x[2])
         if not best[2]:
             break
         garbled, now = True, best[1]
-    cyrillic = lambda m: m[0].encode("cp1252", "replace").decode("cp1251", "replace")
-    if _ALL_ACCENTED.search(now):
-        garbled, now = True, _ALL_ACCENTED.sub(cyrillic, now)
+
+    def cyrillic(m: re.Match) -> str:
+        """A word of accented letters only that the text held from the start: Cyrillic read as Latin."""
+        nonlocal garbled
+        if m[0] not in text:
+            return m[0]
+        garbled = True
+        return m[0].encode("cp1252", "replace").decode("cp1251", "replace")
+
+    now = _ALL_ACCENTED.sub(cyrillic, now)
 
     def whole(m: re.Match) -> str:
         nonlocal garbled

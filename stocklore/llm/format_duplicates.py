@@ -10,6 +10,7 @@ with two pointers that skip what the table skips, and rows that fail that stand
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -136,29 +137,46 @@ def same_stream(a: str, b: str) -> bool:
     return end >= 0 and all(not _live(b, j, fold, kind) for j in range(end, len(b)))
 
 
+_GAP = re.compile(r"\s{2,}")
+
+
+def _gaps(s: str) -> list[tuple[int, int]]:
+    """Spans between wide gaps, for texts that part their fields by nothing else."""
+    cuts = [(0, 0), *(m.span() for m in _GAP.finditer(s)), (len(s), len(s))]
+    return [(a[1], b[0]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _made_up_of(a: str, fields: list[tuple[int, int]], b: str) -> bool:
+    """Whether the given fields of ``a``, each whole and used once, follow one another in some order in ``b``."""
+    fold, kind = _tables()
+    rest = [f for f in fields if any(_live(a, i, fold, kind) for i in range(*f))]
+    rest.sort(key=lambda f: f[0] - f[1])
+    stack = [(0, tuple(range(len(rest))))]
+    seen = set()
+    while stack:
+        at, left = stack.pop()
+        if not left:
+            if all(not _live(b, j, fold, kind) for j in range(at, len(b))):
+                return True
+            continue
+        if (at, left) in seen:
+            continue
+        seen.add((at, left))
+        for k in reversed(left):
+            end = _match(a, *rest[k], b, at)
+            if end >= 0:
+                stack.append((end, tuple(x for x in left if x != k)))
+    return False
+
+
 def same_fields(a: str, b: str) -> bool:
-    """Whether the fields of ``a``, each whole and in any order, make up ``b``; the text with more field marks gives the fields."""
+    """Whether the fields of one text, each whole and in any order, make up the other. The text with more field marks gives the fields; without marks, wide gaps do."""
     if same_stream(a, b):
         return True
     fa, fb = _fields(a), _fields(b)
     if len(fb) > len(fa):
         a, b, fa = b, a, fb
-    fold, kind = _tables()
-    left = sorted((f for f in fa if any(_live(a, i, fold, kind) for i in range(*f))), key=lambda f: f[0] - f[1])
-    def cover(at: int, rest: list[tuple[int, int]]) -> bool:
-        if not rest:
-            return all(not _live(b, j, fold, kind) for j in range(at, len(b)))
-        tried = set()
-        for k, f in enumerate(rest):
-            if (text := a[f[0] : f[1]]) in tried:
-                continue
-            tried.add(text)
-            end = _match(a, *f, b, at)
-            if end >= 0 and cover(end, rest[:k] + rest[k + 1 :]):
-                return True
-        return False
-
-    return len(left) < 200 and cover(0, left) or len(left) >= 200 and sorted(filter(None, map(str.strip, a.casefold().split(",")))) == sorted(filter(None, map(str.strip, b.casefold().split(","))))
+    return _made_up_of(a, fa, b) or _made_up_of(a, _gaps(a), b) or _made_up_of(b, _gaps(b), a)
 
 
 def hashed(rows: DataFrame, key: str, text: str, reference: str) -> DataFrame:

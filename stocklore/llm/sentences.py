@@ -24,9 +24,9 @@ _NEVER = set(
     """mr mrs ms dr prof st m/s messrs dept fig figs tab cl sl ref rev dwg dia qty temp max min approx acc rs vol ed est pvt cat sec sect
     eq ser tel ext cf i.e e.g viz vs w.r.t w.e.f a.c d.c wt mfg mfr incl excl std spec nom para ch pp pg art"""
     # French
-    """ env éq l'éq l’éq ste sté mme mlle mm m p ex chap av bd éd réf tél"""
+    """ env éq l'éq l’éq ste sté mme mlle ex chap av bd éd réf tél"""
     # German
-    """ abb nr s abs vgl bzw ca fa z b d h i u a zzgl inkl evtl ggf bsp str hr fr dipl ing mind max kap"""
+    """ abb nr abs vgl bzw ca fa zzgl inkl evtl ggf bsp str hr fr dipl ing mind max kap"""
     # Spanish
     """ sr sra dr dra ud cía pág págs fig núm aprox diám ee uu ej prof art avda tel"""
     # Hindi, Thai, Arabic
@@ -34,6 +34,10 @@ _NEVER = set(
 )
 # Abbreviations that may also end a sentence; what follows decides.
 _MAYBE = set("etc nos pcs hrs hr deg a.m p.m ltd co inc corp usw stk int uds pfd r.p.m rpm no n.m u.s u.k sq in ft cu lit kg mm cm km b.s al jr sr. cent".split())
+# Letters that number pages and the like, words that a letter names, units of measure.
+_LETTERED = {"s", "p", "n", "v", "t", "f"}
+_LETTER_AFTER = {"line", "linie", "ligne", "línea", "linea", "type", "typ", "class", "unit", "gruppe", "zone", "bay", "grade"}
+_UNITS = {"m", "mm", "cm", "km", "kg", "g", "l", "t", "ml", "in", "ft", "min", "sec", "ch", "art", "app"}
 # Words written small that start sentences.
 _SMALL_STARTS = re.compile(r"(?:qty\.|pH\b|e\.g\.|i\.e\.)")
 # Words before a German ordinal.
@@ -65,8 +69,8 @@ _QUOTES = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」"
 _OPENERS = re.compile("[“„«‹「『‘《（(\\[\"]|(?<![^\\s(])'(?=\\w)")
 _WORD = re.compile(r"[^\s()\[\]\"“”„«»‘]*$")
 _THAI = re.compile("[฀-๿]")
-_THAI_GAP = re.compile(r"(?<=[฀-๿\dA-Za-z.])[ \t ]+(?=[฀-๿])|(?<=[฀-๿])[ \t ]*\n[ \t ]*(?=[฀-๿])")
-_GLUED_START = re.compile("[A-ZÀ-Þ](?:[a-zà-ÿ’' ]|[A-Z]?\\.)")
+_THAI_GAP = re.compile(r"(?<=[฀-๿\dA-Za-z.])\s+(?=[฀-๿])")
+_GLUED_START = re.compile("[A-ZÀ-Þ](?:[a-zà-ÿ’' ]|[A-Z]?\\.|/[a-z])")
 _SPACES = re.compile(r"\s*")
 _DEVANAGARI = re.compile("[ऀ-ॿ]$")
 
@@ -164,15 +168,22 @@ def _dot_ends(text: str, begin: int, i: int, after: int, end: int) -> bool:
     before = _WORD.search(text, begin, i)[0] if i > begin else ""
     if not nxt:
         return True
+    lead = text[begin : i - len(before)].split()
+    measured = bool(lead) and lead[-1][-1].isdigit()  # a unit behind a number
     if glued:
+        starts = bool(_SMALL_STARTS.match(text, after)) or nxt in "¿¡«“„「" or bool(_GLUED_START.match(text, after, end))
+        if not starts or "@" in before or "/" in before[-4:]:
+            return False
+        word = before.lower().lstrip("'’‘")
         if not before:
-            return i > begin and text[i - 1] in ")]»”\"" and (nxt.isupper() or nxt in "¿¡«“„")
-        if _SMALL_STARTS.match(text, after):
-            return before.islower() and before.isalpha() and before not in _NEVER
-        if not _GLUED_START.match(text, after, end) or "/" in before[-4:] or "@" in before:
-            return nxt in "¿¡«“„「"
-        word = before.lower().rstrip(".")
-        return len(before) > 1 and (before[-1].islower() or before[-1].isdigit()) and word not in _NEVER and "." not in before.strip("0123456789.")
+            return i > begin and text[i - 1] in ")]»”\""
+        if before.isdigit():
+            return text[begin : i - len(before)].strip(" '\"(") != ""
+        if len(before) == 1:
+            return measured or (bool(lead) and lead[-1].lower() in _LETTER_AFTER)
+        if "." in before.strip("0123456789."):
+            return word in _MAYBE
+        return word not in _NEVER or (measured and word in _UNITS)
     if not before:
         return not nxt.islower()
     if _DEVANAGARI.search(before) or _THAI.search(before[-1]):
@@ -191,23 +202,27 @@ def _dot_ends(text: str, begin: int, i: int, after: int, end: int) -> bool:
         if _MONTHS.match(text, after) and "." not in word and int(word) <= 31:
             return False
         return True
-    if len(before) == 1 and re.search(r"(?:^|\s)[^\W\d_]\.[  ]$", text[max(begin, i - 5) : i - 1]):
+    if len(before) == 1 and re.search(r"(?:^|\s)[^\W\d_]\.\s$", text[max(begin, i - 5) : i - 1]):
         return False  # spaced initials, as in "i. d. R."
     token = text[after : min(end, after + 40)].split()[0]
     if word == "no":
         return not (small or any(c.isdigit() for c in token))
-    if word in _NEVER or tail in _NEVER:
-        if len(before) == 1 and before.isupper() and word not in ("s", "m") and not small:
-            lead = text[begin : i - 1].split()
-            return bool(lead) and lead[-1][-1].isdigit() or bool(lead) and lead[-1].lower() in ("line", "linie", "ligne", "línea", "linea", "type", "class", "unit", "gruppe", "zone", "bay", "grade")
+    if len(before) == 1 and before.isascii() and before.isalpha():
+        if small:
+            return False
+        if measured or (lead and lead[-1].lower() in _LETTER_AFTER):
+            return True
+        if re.match(r"[^\W\d_]\.$", token):
+            return False
+        if nxt.isdigit() and word in _LETTERED or before == "M":
+            return False
+        return before.islower() or (bool(lead) and lead[-1][:1].islower())
+    if (word in _NEVER or tail in _NEVER) and not (measured and not small and word in _UNITS):
         return False
     if small:
         return False
     if "." in before or word in _MAYBE:
         return True
-    if len(before) == 1 and before.isupper():
-        lead = text[begin : i - 1].split()
-        return bool(lead) and lead[-1][-1].isdigit() or bool(lead) and lead[-1][:1].islower() or bool(lead) and lead[-1].lower() in ("line", "linie", "ligne", "línea")
     return True
 
 
