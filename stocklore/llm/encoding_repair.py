@@ -28,7 +28,7 @@ _SCRIPTS = (("\x80", "ɏ"), ("Ͱ", "џ"), ("֐", "ۿ"))
 _BOX = re.compile("[─-▟�\x80-\x9f]")
 _RUN = re.compile("[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\s​][^\s,;|]*")
-_ALL_ACCENTED = re.compile("(?<![A-Za-zÀ-ÿ])[À-ÖØ-öø-ÿ]{3,}(?![A-Za-zÀ-ÿ])")
+_ALL_ACCENTED = re.compile(r"(?<![^\s,;|(])[À-ÖØ-öø-ÿ]{3,}(?![^\s,;|.)])")
 _GLUED = re.compile("[^\\W\\d_µ][¢¤-¨¬¯³´¶¸¼-¾][^\\W\\d_]|[A-Za-zÀ-ɏ]«(?!\\s*\\w)|(?<![^\\s,;|])[À-×Ù-÷ù-ÿ]\\d|(?<!\\d)(?<!\\d )¢(?! ?\\d)")
 
 
@@ -133,27 +133,25 @@ def _single_byte(word: str) -> str | None:
     return None
 
 
+def _cyrillic(m: re.Match) -> str:
+    """A word of accented letters only is Cyrillic read as Latin, unless the word as a whole is well-formed UTF-8 of some page."""
+    if any(_spans(m[0], p)[1] == len(m[0]) for p in PAGES):
+        return m[0]
+    return m[0].encode("cp1252", "replace").decode("cp1251", "replace")
+
+
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """(garbled, restored text, wholly restored). Null and ASCII texts are sound; unrecoverable characters stay as they are."""
     if not text or text.isascii():
         return False, text, True
-    garbled, now = False, text
+    now = _ALL_ACCENTED.sub(_cyrillic, text)
+    garbled = now != text
     for _ in range(3):
         best = max(((p, *_spans(now, p)) for p in PAGES), key=lambda x: x[2])
         if not best[2]:
             break
         garbled, now = True, best[1]
 
-    def cyrillic(m: re.Match) -> str:
-        """A word of accented letters only that the text held from the start: Cyrillic read as Latin."""
-        nonlocal garbled
-        if m[0] not in text:
-            return m[0]
-        garbled = True
-        return m[0].encode("cp1252", "replace").decode("cp1251", "replace")
-
-    now = _ALL_ACCENTED.sub(cyrillic, now)
-
     def whole(m: re.Match) -> str:
         nonlocal garbled
         if _BOX.search(m[0]) or _GLUED.search(m[0]):
