@@ -24,10 +24,23 @@ def chained(events: DataFrame, log: str, order: str, payload: list[str]) -> Data
     own hash and its successor's link.
     """
     content = events.withColumn("_c", event_hash(F.col(log), F.col(order), *[F.col(p) for p in payload]))
-    linked = content.withColumn("previous_hash", F.coalesce(F.lag("_c").over(Window.partitionBy(log).orderBy(order)), F.lit("")))
+    linked = _with_previous(content, log, order)
     return linked.withColumn("event_hash", event_hash(F.col("_c"), F.col("previous_hash"))).drop("_c")
 
 
+def _with_previous(content: DataFrame, log: str, order: str) -> DataFrame:
+    """Adds the content hash of the event before, within the log. A log is spread over range partitions, however long it is;
+    a partition's first event looks at the last one of the partition before (one row a partition is exchanged)."""
+    ranged = content.repartitionByRange(F.col(log), F.col(order)).withColumn("_part", F.spark_partition_id())
+    placed = durable(ranged)
+    inside = Window.partitionBy("_part").orderBy(log, order)
+    near = placed.withColumn("_log", F.lag(F.struct(F.col(log).alias("l"), F.col("_c").alias("c"))).over(inside))
+    last = placed.groupBy("_part").agg(F.max_by(F.struct(F.col(log).alias("l"), F.col("_c").alias("c")), F.struct(log, order)).alias("_last"))
+    before = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))
+    joined = near.join(F.broadcast(before), "_part").withColumn("_b", F.coalesce("_log", "_edge"))
+    return joined.withColumn("previous_hash", F.when(F.col("_b.l").eqNullSafe(F.col(log)) & F.col("_b").isNotNull(), F.col("_b.c")).otherwise("")).drop("_part", "_log", "_edge", "_b")
+
+
 def verified(events: DataFrame, log: str, order: str, payload: list[str]) -> DataFrame:
     """One row a log: ``events``, ``broken`` links or hashes, ``valid``."""
     again = chained(events.withColumnRenamed("previous_hash", "_p").withColumnRenamed("event_hash", "_e"), log, order, payload)

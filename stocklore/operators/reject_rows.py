@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import amount_of, form_key, is_blank, rest_of
+from ..session import spread
 
 # The feed's columns in order, and the wording of the findings.
 FEED_COLUMNS = (
@@ -85,7 +86,7 @@ def parsed_feed(feed: DataFrame, key: str = "line_id", line: str = "raw_line", c
             counts = np.where(np.array([x is None for x in raw], bool), 0, count)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(broken), pa.array(counts.astype(np.int32)), *cells], [key, "_broken", "_count", *inner])
 
-    out = feed.select(key, line).mapInArrow(run, f"{key_type}, _broken boolean, _count int" + "".join(f", {c} string" for c in inner))
+    out = spread(feed.select(key, line)).mapInArrow(run, f"{key_type}, _broken boolean, _count int" + "".join(f", {c} string" for c in inner))
     return out.select(F.col(key).alias("_key"), "_broken", "_count", *[F.col(i).alias(c) for i, c in zip(inner, columns)])
 
 

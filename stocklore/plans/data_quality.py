@@ -43,7 +43,24 @@ def p3_amounts(spark: SparkSession, sf: str) -> DataFrame:
     return ordered_amounts(read(spark, sf, "material_description_corpus"), read(spark, sf, "unit_normalisation"))
 
 
-@query()
+_F = '(?:"(?:[^"]|"")*"|[^",]*)'
+
+
+def _valid(c: str) -> str:
+    amount, rest = _AMOUNT.replace("{0}", c), _REST.replace("{0}", c)
+    form = _FORM.format("\x00").replace("\x00", rest)
+    return f"(regexp_replace(coalesce({c}, ''), '[\\s\\x{{85}}\\p{{Z}}]+', '', 'g') = '' OR ({amount} IS NOT NULL AND NOT isinf({amount}) AND ({rest} = '' OR {form} IN (SELECT k FROM f))))"
+
+
+@query(
+    f"""WITH f AS (SELECT {_FORM.format('surface_form')} AS k FROM unit_normalisation),
+l AS (SELECT line_id, regexp_replace(coalesce(raw_line, ''), '[\\r\\n]+$', '') AS s, raw_line IS NULL AS missing FROM raw_corpus_lines),
+c AS (SELECT line_id, NOT regexp_full_match(s, '{_F}(?:,{_F})*') AS broken, CASE WHEN missing THEN 0 ELSE 1 + length(x) - length(replace(x, ',', '')) END AS n, replace(CASE WHEN q LIKE '"%' THEN q[2:-2] ELSE q END, '""', '"') AS q
+  FROM (SELECT *, regexp_replace(s, '"(?:[^"]|"")*"', '', 'g') AS x, regexp_extract(s, '^(?:{_F},){{9}}({_F})', 1) AS q FROM l)),
+r AS (SELECT line_id AS row_id, CASE WHEN broken THEN 'broken_quoting' WHEN n <> 15 THEN 'wrong_column_count' WHEN NOT {_valid('q')} THEN 'invalid_quantity' END AS check_code FROM c
+  UNION ALL SELECT corpus_id, CASE WHEN NOT {_valid('quantity')} THEN 'invalid_quantity' END FROM material_description_corpus)
+SELECT row_id, check_code FROM r WHERE check_code IS NOT NULL"""
+)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.reject_rows import rejected
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(name: str = "stocklore") -> SparkSession.Builder:
@@ -29,3 +29,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(target))
     sc._stocklore_shipped = True
+
+
+def width(spark: SparkSession) -> int:
+    """Number of partitions that keeps every core busy, and no less than the session asks for."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in at least as many partitions as there are cores, for work that costs far more than moving a row.
+
+    Only plans without a shuffle are looked at (asking others for their partitions would run them),
+    and only inputs of fewer partitions than cores are moved; large tables stay where they are.
+    """
+    if "Adaptive" in rows._jdf.queryExecution().executedPlan().getClass().getSimpleName():
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
