@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import width
+
 BLOCK = 20_000
 # Characters that scanning and typing confuse.
 _LOOKALIKE = str.maketrans("0158346", "OISBEAG")
@@ -134,7 +136,7 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry: str, th
     Null and blank values have no row; ties go to the smaller edit distance, then the higher cosine, then the first entry by name.
     """
     spark = values.sparkSession
-    distinct = values.select(F.col(value).alias("value")).where(F.trim("value") != "").distinct()
+    distinct = values.select(F.col(value).alias("value")).where(F.trim("value") != "").distinct().repartition(width(spark))  # few short values, costly to score
     listed = entries.select(F.col(entry).alias("e")).where("e is not null").distinct()
     blocks = max(1, math.ceil(listed.count() / block))
     out = None

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Code pages that readers assume, tried in this order.
 PAGES = ("cp1252", "cp1251", "cp850", "cp437", "mac_roman")
 
@@ -181,5 +183,5 @@ def garbled_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     Rows with null, empty or plain ASCII text are no cases; repeated rows come out each.
     """
     wide = rows.select(F.col(key), F.col(text).alias("as_read")).where(F.col("as_read").rlike(r"[^\x00-\x7F]"))
-    fixed = wide.withColumn("_r", repaired(F.col("as_read")))
+    fixed = spread(wide).withColumn("_r", repaired(F.col("as_read")))
     return fixed.where("_r.garbled").select(key, "as_read", F.col("_r.restored").alias("restored"), F.col("_r.complete").alias("complete"))

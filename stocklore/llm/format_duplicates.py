@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
+from ..session import spread
 
 LETTER, DIGIT, POINT = 1, 2, 3
 
@@ -58,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_hashes(texts: list[str | None], ordered: bool) -> np.ndarray:
-    """One 64-bit hash a text (null as empty); ``ordered``: of the whole stream, else the order-free sum over its words."""
+    """One 64-bit hash a text (null as empty); ``ordered``: of the whole stream of a code, in which a point is punctuation, else the order-free sum over a text's words."""
     fold, kind = _tables()
     joined = "\n".join(t or "" for t in texts)
     cps = np.frombuffer(joined.encode("utf-32-" + ("le" if sys.byteorder == "little" else "be"), "surrogatepass"), np.uint32)
@@ -69,7 +70,9 @@ def text_hashes(texts: list[str | None], ordered: bool) -> np.ndarray:
     inside = np.zeros(len(cps), bool)
     if len(cps) > 2:
         inside[1:-1] = digit[:-2] & digit[2:]
-    live = (k == LETTER) | digit | ((k == POINT) & inside)
+    live = (k == LETTER) | digit
+    if not ordered:
+        live |= (k == POINT) & inside
     at = np.flatnonzero(live)
     out = np.zeros(len(texts), np.uint64)
     if not len(at):
@@ -169,6 +172,11 @@ def _made_up_of(a: str, fields: list[tuple[int, int]], b: str) -> bool:
     return False
 
 
+def same_code(a: str, b: str) -> bool:
+    """Whether two codes hold the same letters and digits in the same order; points are punctuation there."""
+    return same_stream(a.replace(".", " "), b.replace(".", " "))
+
+
 def same_fields(a: str, b: str) -> bool:
     """Whether the fields of one text, each whole and in any order, make up the other. The text with more field marks gives the fields; without marks, wide gaps do."""
     if same_stream(a, b):
@@ -189,7 +197,7 @@ def hashed(rows: DataFrame, key: str, text: str, reference: str) -> DataFrame:
             g, h = text_hashes(t, False).view(np.int64), text_hashes(r, True).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h), pa.array(g), batch.column(1), batch.column(2)], ["_id", "_h", "_g", "_t", "_r"])
 
-    return usable.mapInArrow(run, usable.select("_id").schema.simpleString()[7:-1].replace(":", " ") + ", _h bigint, _g bigint, _t string, _r string")
+    return spread(usable).mapInArrow(run, usable.select("_id").schema.simpleString()[7:-1].replace(":", " ") + ", _h bigint, _g bigint, _t string, _r string")
 
 
 def format_copies(rows: DataFrame, key: str, text: str, reference: str) -> DataFrame:
@@ -205,7 +213,7 @@ def format_copies(rows: DataFrame, key: str, text: str, reference: str) -> DataF
 
         @F.pandas_udf("boolean")
         def verified(t: pd.Series, r: pd.Series, t0: pd.Series, r0: pd.Series) -> pd.Series:
-            return pd.Series([same_stream(b, d) and same_fields(a, c) for a, b, c, d in zip(t, r, t0, r0)], dtype=bool)
+            return pd.Series([same_code(b, d) and same_fields(a, c) for a, b, c, d in zip(t, r, t0, r0)], dtype=bool)
 
         pairs = every.join(heads, ["_h", "_g"]).where("_id <> _first._id")
         same = (F.col("_t") == F.col("_first._t")) & (F.col("_r") == F.col("_first._r"))

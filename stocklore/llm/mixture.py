@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_SOURCES = 10_000
+
+
 def _capped_mean(lam: float, cap: int) -> float:
     """Mean of a Poisson number that is cut at ``cap``."""
     p, mean, seen = math.exp(-lam), 0.0, 0.0
@@ -58,6 +61,8 @@ def plan(sized: DataFrame, weights: DataFrame, headroom: float, seed: int) -> pd
     ``headroom`` x its cap on average. Sources without a share or without tokens get rate 0;
     the shares of the others are scaled to sum to 1.
     """
+    if weights.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError("the list of sources is too long to be planned on the driver")
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available")).join(F.broadcast(weights), "source").toPandas()
     have = have[(have.available > 0) & (have.target_share > 0) & (have.max_repeats > 0)].rename(columns={"max_repeats": "cap"}).reset_index(drop=True)
     if not len(have):

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import durable
+from ..session import spread
 from . import product_lexicon as lex
 from .product_parse import ListingParser
 
@@ -32,6 +33,7 @@ SLOTS = ("kind", "model", "grade", "length", "pressure", "power", "mass", "volum
 OPTIONAL = ("form", "finish", "sheath")
 SUPPORT = 2e-4  # a mined phrase names at least this share of the trusted listings: at most 1 / SUPPORT x fields phrases
 PURITY = 0.9
+MAX_GRADES = 200_000
 
 
 def mined_phrases(rows: DataFrame, text: str, hint: str) -> dict[str, tuple[str, str]]:
@@ -83,7 +85,7 @@ def parsed(rows: DataFrame, key: str, text: str, grades: list[str], phrases: dic
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], ["_id", *SLOTS])
 
     source = rows.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_t is not null")
-    return source.mapInArrow(run, source.select("_id").schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {s} string" for s in SLOTS))
+    return spread(source).mapInArrow(run, source.select("_id").schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {s} string" for s in SLOTS))
 
 
 def _stated() -> Column:
@@ -109,7 +111,9 @@ def product_groups(rows: DataFrame, grades: DataFrame, key: str = "corpus_id", t
     ``key`` must be unique. Null, blank and administrative texts are no listings; a listing
     with a value left out that two products could explain stays by itself.
     """
-    tokens = [r.t for r in grades.select(F.col("grade_token").alias("t")).where("t is not null").distinct().collect()]
+    tokens = [r.t for r in grades.select(F.col("grade_token").alias("t")).where("t is not null").distinct().limit(MAX_GRADES + 1).collect()]
+    if len(tokens) > MAX_GRADES:
+        raise ValueError("the grade list is too long to be held by every worker")
     listed = durable(parsed(rows, key, text, tokens, mined_phrases(rows, text, hint)))
     same = listed.groupBy(*SLOTS).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_stated", _stated())
     same = durable(same.withColumn("_g", F.xxhash64(*[F.coalesce(s, F.lit("")) for s in SLOTS], "_first")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -65,7 +67,7 @@ CAPACITY = 2048
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     from .tokens import token_count
 
-    return _read(spark, sf, "documents").withColumn("n_tokens", token_count(F.col("text")))
+    return spread(_read(spark, sf, "documents")).withColumn("n_tokens", token_count(F.col("text")))
 
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,3 +124,12 @@ e AS (SELECT a, b FROM k WHERE a <> b UNION SELECT b, a FROM k WHERE a <> b),
 r AS (SELECT a AS material_id, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.material_id AND r.m < e.b)
 SELECT min(m) AS group_id, material_id FROM r GROUP BY material_id
 """
+
+# Both texts folded to letters and digits; of the description the words, sorted (fields in any order). A decimal point stays with its number.
+ORACLES["p2_found"] = """
+WITH k AS (SELECT corpus_id, array_to_string(regexp_extract_all(lower(tender_reference), '[\\p{L}\\p{M}\\p{N}]+'), '') AS r,
+    array_to_string(list_sort(regexp_extract_all(lower(description), '[\\p{L}\\p{M}]+|[0-9]+(?:\\.[0-9]+)?')), ' ') AS w
+  FROM material_description_corpus WHERE regexp_matches(description, '[^\\s]') AND regexp_matches(tender_reference, '[^\\s]')),
+f AS (SELECT r, w, min(corpus_id) AS first_id FROM k GROUP BY r, w HAVING count(*) > 1)
+SELECT first_id, corpus_id AS copy_id FROM k JOIN f USING (r, w) WHERE corpus_id <> first_id
+"""

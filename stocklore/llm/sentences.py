@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Abbreviations after which a sentence goes on.
 _NEVER = set(
     # English
@@ -338,4 +340,5 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", wit
             out = {key: pd.Series(keys, dtype=pdf["_k"].dtype), "sentence_no": pd.Series(numbers, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")}
             yield pd.DataFrame(out | ({"sentence": pd.Series(parts, dtype="object")} if with_text else {}))
 
-    return documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"\S")).mapInPandas(run, fields)
+    filled = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").rlike(r"\S"))
+    return spread(filled).mapInPandas(run, fields)
