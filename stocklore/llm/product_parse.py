@@ -47,22 +47,29 @@ class ListingParser:
         for phrase, hit in self.exact.items():
             self.automaton.add_word(phrase, (len(phrase), hit))
         self.automaton.make_automaton()
-        self.kinds = sorted({v for variants in lex.KINDS.values() for v in variants if len(v) > 5})
+        self.kinds = [(v, frozenset(v)) for v in sorted({v for variants in lex.KINDS.values() for v in variants if len(v) > 5})]
         self.memo: dict[str, list[tuple[str, str]]] = {}
+        self.runs: dict[str, tuple[float, str | None]] = {}
         self.limit = memo
 
+    def _near(self, run: str) -> tuple[float, str | None]:
+        """(similarity, noun phrase) of the known phrase nearest to a run of words; remembered, as marketing words recur."""
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) >= self.limit:
+                self.runs.clear()
+            letters, n = set(run), len(run)
+            like = [k for k, own in self.kinds if abs(len(k) - n) <= 4 and len(own ^ letters) <= 4]
+            near = difflib.get_close_matches(run, like, n=1, cutoff=0.84)
+            found = self.runs[run] = (difflib.SequenceMatcher(None, run, near[0]).ratio(), near[0]) if near else (0.0, None)
+        return found
+
     def _typo(self, s: str) -> tuple[str, str] | None:
         """A mistyped noun phrase: the nearest known one among the text's runs of one to three words, where near enough."""
-        words, best = _WORDS.findall(s), (0.84, None)
-        for n in (1, 2, 3):
-            for i in range(len(words) - n + 1):
-                run = " ".join(words[i : i + n])
-                if len(run) > 5:
-                    for near in difflib.get_close_matches(run, self.kinds, n=1, cutoff=best[0]):
-                        ratio = difflib.SequenceMatcher(None, run, near).ratio()
-                        if ratio > best[0]:
-                            best = (ratio, ("kind", self.exact[near][1]))
-        return best[1]
+        words = _WORDS.findall(s)
+        runs = (" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+        ratio, near = max((self._near(r) for r in runs if len(r) > 5), key=lambda x: x[0], default=(0.0, None))
+        return ("kind", self.exact[near][1]) if near and ratio > 0.84 else None
 
     def _segment(self, s: str) -> list[tuple[str, str]]:
         hit = self.exact.get(s)
