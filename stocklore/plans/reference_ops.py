@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..operators import attributes as att
 from ..operators import canonical_codes, corpus, documents_extract, evaluation, identity, lineage, matching, normalize, quality, retrieval, weak_labels
+from ..session import spread
 from ..streaming import feeds
 from .registry import query, read
 
@@ -111,7 +111,7 @@ _HINT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(description,
 
 @query(f"SELECT corpus_id, {_HINT_SQL} AS hint FROM material_description_corpus")
 def type_hints(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, CORPUS).select("corpus_id", corpus.type_hint(F.col("description")).alias("hint"))
+    return spread(read(spark, sf, CORPUS).select("corpus_id", "description")).select("corpus_id", corpus.type_hint(F.col("description")).alias("hint"))
 
 
 @query("SELECT coalesce(item_type_hint, '') AS value, count(*) AS records FROM material_description_corpus GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
@@ -221,7 +221,7 @@ _FAMILY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(descriptio
 
 @query(f"SELECT corpus_id, {_FAMILY_SQL} AS family FROM material_description_corpus")
 def families(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, CORPUS).select("corpus_id", att.family(F.col("description")).alias("family"))
+    return spread(read(spark, sf, CORPUS).select("corpus_id", "description")).select("corpus_id", att.family(F.col("description")).alias("family"))
 
 
 @query()
