@@ -167,10 +167,10 @@ def _dot_ends(text: str, begin: int, i: int, after: int, end: int) -> bool:
     """Whether the dot at ``i`` (what follows starts at ``after``) ends a sentence that began at ``begin``."""
     nxt = text[after] if after < end else ""
     glued = after == i + 1
-    before = _WORD.search(text, begin, i)[0] if i > begin else ""
+    before = _WORD.search(text, max(begin, i - 40), i)[0] if i > begin else ""
     if not nxt:
         return True
-    lead = text[begin : i - len(before)].split()
+    lead = text[max(begin, i - len(before) - 48) : i - len(before)].split()  # its last word is what counts
     measured = bool(lead) and lead[-1][-1].isdigit()  # a unit behind a number
     if glued:
         starts = bool(_SMALL_STARTS.match(text, after)) or nxt in "¿¡«“„「" or bool(_GLUED_START.match(text, after, end))
@@ -285,7 +285,7 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
         elif mark == ".." or close:
             ends = not nxt or not nxt.islower() or bool(_SMALL_STARTS.match(text, after))
             if ends and close and not inside and text[stop - 1] in ")]":
-                word = _WORD.search(text, begin, i)[0].lower()
+                word = _WORD.search(text, max(begin, i - 40), i)[0].lower()
                 ends = word not in _NEVER or not nxt
             if ends and close and nxt.isalpha() and not nxt.isupper() and text[stop - 1] not in ")]":
                 ends = False  # a script without capitals: the sentence goes on after the quotation
