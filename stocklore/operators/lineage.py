@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import functools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import width
 from .durable import durable, release
 
 
@@ -75,31 +78,82 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
+def _first_leaders(texts: list[str], leaders: list[str], threshold: float, grow: bool) -> list[int]:
+    """For every text the place of the first leader similar enough, else -1; with ``grow`` such a text leads from then on, and places are those of ``texts``.
+
+    Lengths and letter counts bound the ratio from above (letters fall into buckets, which only raises the bound), so only pairs that can reach the threshold are compared.
+    """
+    room = len(leaders) + (len(texts) if grow else 0)
+    lead = [(t.lower(), i) for i, t in enumerate(leaders)]
+    counts, sizes = np.zeros((room, BUCKETS), np.int32), np.zeros(room, np.int64)
+    for i, (t, _) in enumerate(lead):
+        counts[i], sizes[i] = _letters(t), len(t)
+    out = []
+    for at, text in enumerate(texts):
+        low, n = text.lower(), len(lead)
+        mine = _letters(low)
+        both = sizes[:n] + len(low)
+        bound = np.where(both > 0, 2.0 * np.minimum(counts[:n], mine).sum(axis=1) / np.maximum(both, 1), 1.0)
+        matcher, found = difflib.SequenceMatcher(None, "", low), -1
+        for i in np.flatnonzero(bound >= threshold):
+            matcher.set_seq1(lead[i][0])
+            if matcher.ratio() >= threshold:
+                found = lead[i][1]
+                break
+        else:
+            if grow:
+                counts[n], sizes[n], found = mine, len(low), at
+                lead.append((low, at))
+        out.append(found)
+    return out
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % BUCKETS, minlength=BUCKETS)
+
+
 def leader_clusters(rows: DataFrame, key: str, text: str, block: str, threshold: float = 0.75) -> DataFrame:
     """(``key``, ``leader``): in order of ``key`` a text joins the first cluster of its block whose first member is similar enough.
 
-    Equal texts are combined first. The rule is sequential within a block, so a block is
-    cut into salted parts of bounded size by hash of the text: same blocks, same parts, same clusters.
+    Equal texts are combined first. The rule holds over whole blocks, in rounds: the first ``PART_ROWS`` texts
+    left of every block are settled one after the other, then all later ones are compared with the leaders found, in parallel
+    parts; what no leader takes is left for the next round. Earlier leaders come first, so sizes of rounds and parts don't change the result.
     """
     base = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(block).cast("string"), F.lit("")).alias("b")).where("t is not null")
-    heads = base.groupBy("b", "t").agg(F.min("k").alias("k"))
-    sizes = heads.groupBy("b").agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
-    parted = heads.join(sizes, "b").withColumn("p", F.pmod(F.xxhash64("t"), F.col("_parts")))
+    left = durable(base.groupBy("b", "t").agg(F.min("k").alias("k")))
     key_type = dict(rows.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[object, str]] = []
-        out = []
-        for k, t in pdf.sort_values("k")[["k", "t"]].itertuples(index=False):
-            found = next((lk for lk, lt in leaders if similarity(lt, t) >= threshold), None)
-            if found is None:
-                leaders.append((k, t))
-                found = k
-            out.append((pdf["b"].iloc[0], t, found))
-        return pd.DataFrame(out, columns=["b", "t", "leader"])
-
-    placed = parted.select("b", "p", "k", "t").groupBy("b", "p").applyInPandas(run, f"b string, t string, leader {key_type}")
+    cores = width(rows.sparkSession)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "t"], ignore_index=True)
+        found = _first_leaders(list(pdf["t"]), [], threshold, True)
+        return pdf.assign(leads=[f == i for i, f in enumerate(found)], leader=pdf["k"].take(found).array)[["b", "t", "k", "leads", "leader"]]
+
+    def compare(pdf: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values(["k", "t"], ignore_index=True)
+        found = _first_leaders(list(pdf["t"]), list(leaders["t"]), threshold, False)
+        keys = list(leaders["k"])
+        return pdf.assign(joins=[f >= 0 for f in found], leader=[keys[f] if f >= 0 else None for f in found])[["b", "t", "k", "joins", "leader"]]
+
+    settled = []
+    while not left.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.asc_nulls_last("k"), "t"))
+        head = left.withColumn("_n", rank).where(F.col("_n") <= PART_ROWS).select("b", "t", "k")
+        now = durable(head.repartition(cores, "b").groupBy("b").applyInPandas(settle, f"b string, t string, k {key_type}, leads boolean, leader {key_type}"))
+        settled.append(now.select("b", "t", "leader"))
+        later = left.join(now.select("b", "t"), ["b", "t"], "left_anti")
+        parts = later.groupBy("b").agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+        texts = later.join(parts, "b").select("b", "t", "k", F.pmod(F.xxhash64("t"), F.col("_parts")).alias("p"))
+        found = now.where("leads").join(parts, "b").select("b", "t", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("p"))
+        sides = [s.repartition(cores, "b", "p").groupBy("b", "p") for s in (texts, found)]
+        compared = durable(sides[0].cogroup(sides[1]).applyInPandas(compare, f"b string, t string, k {key_type}, joins boolean, leader {key_type}"))
+        settled.append(compared.where("joins").select("b", "t", "leader"))
+        release(left)
+        left = compared.where("not joins").select("b", "t", "k")
+    placed = functools.reduce(DataFrame.unionByName, settled) if settled else left.select("b", "t", F.col("k").alias("leader"))
     return base.join(placed, ["b", "t"]).select(F.col("k").alias(key), "leader")
 
 
-PART_ROWS = 1500
+# Texts settled in one task a round and block, or compared in one part (up to 1,000 the planner limits rows before it shuffles them); counters of a text's letters.
+PART_ROWS = 1000
+BUCKETS = 64

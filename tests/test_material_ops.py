@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,26 @@ def test_graph_frontier_clusters(spark):
     assert vertices.count() == 3 and edges.count() == 1
 
 
+def test_leader_clusters_do_not_depend_on_sizes(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["gate", "valve", "pump", "cable", "bolt", "Ölpumpe", "unit", "seal"]
+    rows = [(f"{i:04d}", " ".join(rng.choices(words, k=rng.randint(1, 4))) + rng.choice(["", " 7", "s"]), rng.choice("xy")) for i in range(400)] + [("0007", "pumpe", "x"), ("0007", "pumpen", "x")]
+    firsts = {}
+    for k, t, b in rows:
+        firsts[b, t] = min(k, firsts.get((b, t), k))
+    leaders, want = [], {}
+    for (b, t), k in sorted(firsts.items(), key=lambda x: (x[1], x[0][1])):
+        want[b, t] = next((lk for lk, lt, lb in leaders if lb == b and lineage.similarity(lt, t) >= 0.75), None)
+        if want[b, t] is None:
+            leaders.append((k, t, b))
+            want[b, t] = k
+    frame = spark.createDataFrame(rows, "id string, t string, b string")
+    for size in (7, 60, 1500):
+        monkeypatch.setattr(lineage, "PART_ROWS", size)
+        got = sorted((r.id, r.leader) for r in lineage.leader_clusters(frame, "id", "t", "b").collect())
+        assert got == sorted((k, want[b, t]) for k, t, b in rows), size
+
+
 def test_weak_labels(spark):
     rows = spark.createDataFrame([("1", "A", "11 kV transformer"), ("2", "B", "11 KV  Transformer"), ("3", "B", "11 kv transformer"), ("4", "A", "33 kV transformer"), ("5", "C", None)], "corpus_id string, organization string, description string")
     classes = {r.corpus_id: (r.class_id, r.representative) for r in weak_labels.exact_classes(rows).collect()}
