@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded
 from .attributes import values_of
+from .durable import durable, release
 from .identity import pair_id
-from .matching import compatibility
+from .matching import IDENTITY, compatibility
 
-# Confidence of the two kinds of labels, and neighbours per record.
+# Confidence of the two kinds of labels, and neighbours per record and value.
 EXACT_CONFIDENCE, CONFLICT_CONFIDENCE = 0.9, 0.65
 NEIGHBOURS = 8
-BLOCK_ROWS = 200_000
 ANCHORS = {
     "transformer": ("voltage", "rating", "frequency", "phase", "vector_group"),
     "cable": ("voltage", "cores", "cross_section", "conductor_material", "insulation"),
@@ -45,33 +45,55 @@ def exact_labels(records: DataFrame, key: str = "corpus_id") -> DataFrame:
     return others.select(pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.least("a", "b").alias("material_a"), F.greatest("a", "b").alias("material_b"), F.lit("EXACT").alias("relation"), F.lit(EXACT_CONFIDENCE).alias("confidence"))
 
 
+def _conflicts(records: DataFrame, key: str, neighbours: int) -> DataFrame:
+    """(``a``, ``b``, ``reasons``) of records in hard conflict, every unordered pair once."""
+    fields = F.create_map(*[x for f, names in IDENTITY.items() for x in (F.lit(f), F.array(*map(F.lit, names)))])
+    anchors = F.create_map(*[x for f, names in ANCHORS.items() for x in (F.lit(f), F.array(*map(F.lit, names)))])
+    said = F.filter("attributes", lambda a: F.array_contains(fields[F.col("family")], a["name"]))
+    slim = records.where("family <> 'unknown'").select(F.col(key).alias("id"), "family", F.array_sort(F.array_distinct(F.transform(said, lambda a: F.struct(a["name"].alias("name"), a["text"].alias("text"), a["unit"].alias("unit"))))).alias("said"))
+    # records that say the same are one kind and conflict alike: pairs are judged between kinds, and joined back to every record
+    members = durable(slim.where("size(said) > 0").withColumn("kind", F.md5(F.to_json(F.struct("family", "said")))))
+    kinds = durable(members.groupBy("kind").agg(F.first("family").alias("family"), F.first("said").alias("said"), F.min("id").alias("id")))
+    held = kinds.withColumn("anchor", F.explode(anchors[F.col("family")])).withColumn("vs", values_of("said", F.col("anchor")))
+    values = durable(held.select("kind", "id", "family", "anchor", F.size("vs").alias("n"), F.explode("vs").alias("v")))
+    # a record with no other value stands for a value where there is one, as it conflicts with all others
+    heads = values.groupBy("family", "anchor", "v").agg(F.min(F.struct("n", "id", "kind")).alias("h"))
+    group = Window.partitionBy("family", "anchor")
+    placed = durable(heads.withColumn("at", F.row_number().over(group.orderBy("v")) - 1).join(heads.groupBy("family", "anchor").agg(F.count("*").alias("total")), ["family", "anchor"]).where("total > 1"))
+    step = F.explode(F.sequence(F.lit(1), F.least(F.lit(neighbours), F.col("total") - 1).cast("int")))
+    ahead = placed.withColumn("_step", step).select("family", "anchor", "v", ((F.col("at") + F.col("_step")) % F.col("total")).alias("at"))
+    following = ahead.join(placed.select("family", "anchor", "at", F.col("h.kind").alias("other")), ["family", "anchor", "at"])
+    meets = values.join(following, ["family", "anchor", "v"]).where("kind <> other").select("kind", "other").distinct()
+    side = lambda k, s: kinds.select(F.col("kind").alias(k), F.col("family").alias(f"family_{s}"), F.col("said").alias(f"said_{s}"), F.col("id").alias(f"first_{s}"))
+    judged = meets.join(side("kind", "a"), "kind").join(side("other", "b"), "other").withColumn("c", compatibility("said_a", "said_b", "family_a", "family_b"))
+    hard = durable(judged.where("c.class = 'HARD_CONFLICT'").select("kind", "other", "first_a", F.col("first_b").alias("b"), F.array_join("c.conflicts", ",").alias("reasons")))
+    # the first of a kind stands for it: where two kinds meet both ways, their firsts would pair twice
+    both = F.count("*").over(Window.partitionBy(F.least("kind", "other"), F.greatest("kind", "other"))) > 1
+    hard = hard.withColumn("again", both & (F.col("first_a") > F.col("b")))
+    for done in (kinds, values, placed):
+        release(done)
+    pairs = members.select("kind", "id").join(hard, "kind").where(~(F.col("again") & (F.col("id") == F.col("first_a"))))
+    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "reasons")
+
+
+def _not_equivalent(pairs: DataFrame) -> DataFrame:
+    return pairs.select(pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.col("a").alias("material_a"), F.col("b").alias("material_b"), F.lit("NOT_EQUIVALENT").alias("relation"), F.lit(CONFLICT_CONFIDENCE).alias("confidence"), "reasons")
+
+
 def conflict_labels(records: DataFrame, key: str = "corpus_id", neighbours: int = NEIGHBOURS) -> DataFrame:
-    """NOT_EQUIVALENT labels: to each record the next ``neighbours`` of its family, in order of an identity attribute, that conflict with it.
+    """NOT_EQUIVALENT labels: to each record, for each value it states of an identity attribute, those of the next ``neighbours`` values in its family that conflict with it.
 
-    Records are ordered by (value, id) within their family, attribute and hashed block, and each
-    meets only those that follow it closely: work is proportional to the records, whatever a family's size.
+    Values are in one order within family and attribute (after the last comes the first), and each is stood for by one record
+    (of those that state the fewest values of the attribute the smallest id), so work is proportional to the records, whatever a family's size.
     """
-    slim = records.where("family <> 'unknown'").select(F.col(key).alias("id"), "family", "attributes", F.coalesce("description", F.lit("")).alias("text"))
-    anchors = F.create_map(*[x for f, names in ANCHORS.items() for x in (F.lit(f), F.array(*map(F.lit, names)))])
-    named = slim.withColumn("anchor", F.explode(anchors[F.col("family")]))
-    keyed = named.withColumn("v", F.try_element_at(F.array_sort(F.array_distinct(F.transform(F.filter("attributes", lambda a: a["name"] == F.col("anchor")), lambda a: F.lower(F.concat(a["text"], F.lit("|"), F.coalesce(a["unit"], F.lit(""))))))), F.lit(1)))
-    blocks = 1 + records.count() // BLOCK_ROWS  # blocks grow in number, not in size
-    keyed = keyed.where("v is not null").withColumn("_block", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-    # one record a value and block stands for its equals: neighbours must differ in value
-    heads = keyed.groupBy("family", "anchor", "_block", "v").agg(F.min("id").alias("id"))
-    order = Window.partitionBy("family", "anchor", "_block").orderBy("v", "id")
-    linked = heads.withColumn("next", F.collect_list("id").over(order.rowsBetween(1, neighbours)))
-    pairs = linked.select(F.col("id").alias("a"), F.explode("next").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda s: slim.select(F.col("id").alias(s), F.col("family").alias(f"family_{s}"), F.col("attributes").alias(f"attributes_{s}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", compatibility("attributes_a", "attributes_b", "family_a", "family_b"))
-    hard = judged.where("c.class = 'HARD_CONFLICT'")
-    return hard.select(pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.col("a").alias("material_a"), F.col("b").alias("material_b"), F.lit("NOT_EQUIVALENT").alias("relation"), F.lit(CONFLICT_CONFIDENCE).alias("confidence"), F.array_join("c.conflicts", ",").alias("reasons"))
+    return _not_equivalent(_conflicts(records, key, neighbours))
 
 
 def weak_labels(records: DataFrame, key: str = "corpus_id") -> DataFrame:
     """Both kinds; where a pair has both, EXACT stands."""
     exact = exact_labels(records, key).withColumn("reasons", F.lit("exact_text,cross_organization"))
-    return exact.unionByName(conflict_labels(records, key).join(exact.select("pair_id"), "pair_id", "left_anti"))
+    known = exact.select(F.col("material_a").alias("a"), F.col("material_b").alias("b"))
+    return exact.unionByName(_not_equivalent(_conflicts(records, key, NEIGHBOURS).join(known, ["a", "b"], "left_anti")))
 
 
 def hard_negatives(labels: DataFrame) -> DataFrame:

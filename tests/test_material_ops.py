@@ -219,3 +219,21 @@ def test_weak_labels(spark):
     labels = weak_labels.weak_labels(att.with_attributes(rows)).collect()
     assert {(r.material_a, r.material_b) for r in labels if r.relation == "EXACT"} == {("1", "2")}
     assert all("4" in (r.material_a, r.material_b) for r in labels if r.relation == "NOT_EQUIVALENT") and len(labels) > 1
+
+
+def test_conflict_labels_reach_every_record_and_value(spark):
+    said = {f"{i:02d}": [f"{i % 12 + 1}"] for i in range(40)} | {"90": ["1", "77"], "91": ["77"], "92": ["5"]}
+    rows = spark.createDataFrame([(k, "A", " or ".join(f"{v} kV" for v in vs) + " transformer") for k, vs in said.items()], "corpus_id string, organization string, description string")
+    labels = weak_labels.conflict_labels(att.with_attributes(rows)).collect()
+    pairs = [(r.material_a, r.material_b) for r in labels]
+    assert len(pairs) == len(set(pairs)) and all(a < b and r.reasons == "voltage" for (a, b), r in zip(pairs, labels))
+    assert all(not set(said[a]) & set(said[b]) for a, b in pairs)
+    # brute force: the next 8 values of each value, in order of text, each by its first record
+    order = sorted({v for vs in said.values() for v in vs}, key=lambda v: f"{v}.0|kv")
+    head = {v: min((len(vs), k) for k, vs in said.items() if v in vs)[1] for v in order}
+    want = set()
+    for k, vs in said.items():
+        for v in vs:
+            others = [order[(order.index(v) + i) % len(order)] for i in range(1, 9)]
+            want |= {tuple(sorted((k, head[o]))) for o in others if not set(said[head[o]]) & set(vs)}
+    assert set(pairs) == want and all(sum(k in p for p in pairs) >= 7 for k in said)
