@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +14,6 @@ from ..operators.reject_rows import FEED_COLUMNS
 
 # Fixed value: the first bytes of a file that only points at large-file storage.
 POINTER = b"version https://git-lfs.github.com/spec/v1"
-PROBE_BYTES = 1 << 20
 WESTERN = tuple("".join(x) for x in zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
 CORPUS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in FEED_COLUMNS])
 
@@ -22,33 +24,31 @@ EXPORT_ALIASES = {
 }
 
 
-def probe_encoding(spark: SparkSession, path: str) -> str:
-    """``utf-8`` where the start of every file decodes as such, else ``windows-1252``; a storage pointer raises ValueError.
+def probe_encodings(spark: SparkSession, path: str) -> dict[str, str]:
+    """By file: ``utf-8`` where all of it decodes as such, else ``windows-1252``; a storage pointer raises ValueError.
 
-    Only the first MiB of each file is looked at; a multibyte character cut at its end doesn't count against it.
+    Every line is checked, in the executors: line breaks never stand within a UTF-8 character, so files are split like any text.
     """
-    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, PROBE_BYTES).alias("head"))
-
-    @F.udf("string")
-    def kind(head: bytes) -> str:
-        if head.startswith(POINTER):
-            return "pointer"
-        try:
-            head.decode("utf-8")
-        except UnicodeDecodeError as e:
-            if e.start < len(head) - 3:
-                return "windows-1252"
-        return "utf-8"
-
-    found = {r.k for r in heads.select(kind("head").alias("k")).distinct().collect()}
-    if "pointer" in found:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    start = F.substring(F.col("value").cast("binary"), 1, len(POINTER))
+    files = lines.groupBy("file").agg(F.min_by(start, "at").alias("start"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")).collect()
+    if any(r.start == POINTER for r in files):
         raise ValueError(f"{path} holds a pointer to large-file storage, not the data")
-    return "windows-1252" if "windows-1252" in found else "utf-8"
+    return {unquote(r.file): "utf-8" if r.utf8 else "windows-1252" for r in files}
+
 
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header, every column STRING, quoted line breaks allowed, doubled quotes; each file's encoding is probed unless given.
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header, every column STRING, quoted line breaks allowed, doubled quotes; the encoding is probed unless given."""
-    encoding = encoding or probe_encoding(spark, path)
+    Where a folder's files differ in encoding, those of either one are read together and joined by column name.
+    """
+    if encoding is None:
+        found = probe_encodings(spark, path)
+        kinds = sorted(set(found.values())) or ["utf-8"]
+        if len(kinds) > 1:
+            parts = [read_csv(spark, [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in sorted(found) if found[f] == k], k, schema) for k in kinds]
+            return parts[0].unionByName(parts[1], allowMissingColumns=True)
+        encoding = kinds[0]
     western = encoding.lower() in ("windows-1252", "cp1252")  # not among the reader's own: read byte for byte, then mapped
     reader = spark.read.options(header=True, multiLine=True, escape='"', encoding="iso-8859-1" if western else encoding, inferSchema=False)
     rows = (reader.schema(schema) if schema else reader).csv(path)

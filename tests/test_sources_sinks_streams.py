@@ -18,6 +18,18 @@ def test_csv_encodings_and_pointers(spark, tmp_path):
     assert kinds == {"a.csv": (False, "text/csv"), "b.csv": (False, "text/csv"), "c.csv": (True, "text/csv")}
 
 
+def test_encoding_is_of_the_whole_file_and_by_file(spark, tmp_path):
+    folder = tmp_path / "a b+"
+    folder.mkdir()
+    (folder / "late 1.csv").write_bytes(("code,description\n" + "1,plain text of a row\n" * 60_000 + "2,größe\n").encode("cp1252"))
+    (folder / "utf.csv").write_bytes("code,description\n3,größe 中\n".encode())
+    assert readers.read_csv(spark, str(tmp_path / "a*" / "late*")).where("code = '2'").first().description == "größe"
+    rows = readers.read_csv(spark, str(tmp_path / "a*"))
+    assert {(r.code, r.description) for r in rows.where("code > '1'").collect()} == {("2", "größe"), ("3", "größe 中")} and rows.count() == 60_002
+    exported = readers.read_export(spark, str(tmp_path / "a*")).where("material_code > '1'").collect()
+    assert {(r.material_code, r.description, r.source.rsplit("/", 1)[1]) for r in exported} == {("2", "größe", "late%201.csv"), ("3", "größe 中", "utf.csv")}
+
+
 def test_exports_json_text(spark, tmp_path):
     (tmp_path / "e.csv").write_text("MATNR,material_description,unit,colour\n7,Valve,NOS,red\n8,,,\n")
     row = readers.read_export(spark, str(tmp_path / "e.csv")).orderBy("material_code").first()
