@@ -51,9 +51,8 @@ class ExactComplement:
         pair = self._pair(gap, here)
         if pair:
             return pair
-        for a in here[::-1][:256]:
-            if a * 3 < gap:
-                break
+        largest = here[here * 3 >= gap][::-1]
+        for a in largest[self._pair_sums(gap)[gap - largest]]:
             n[a] -= 1
             rest = self._pair(int(gap - a), here)
             n[a] += 1
@@ -61,6 +60,12 @@ class ExactComplement:
                 return (int(a), *rest)
         return None
 
+    def _pair_sums(self, gap: int) -> np.ndarray:
+        """Which sums up to ``gap`` two lengths have, whatever their counts."""
+        size = 1 << (2 * gap + 1).bit_length()
+        seen = np.fft.rfft(self.counts[: gap + 1] > 0, size)
+        return np.fft.irfft(seen * seen, size)[: gap + 1] > 0.5
+
     def _pair(self, gap: int, here: np.ndarray) -> tuple[int, int] | None:
         n = self.counts
         low = here[here * 2 <= gap]

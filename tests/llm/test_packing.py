@@ -1,10 +1,12 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stocklore.llm.packing import fill_report, pack, plan
+from stocklore.llm.packing import ExactComplement, fill_report, pack, plan
 
 
 @settings(max_examples=200, deadline=None)
@@ -40,3 +42,21 @@ def test_pack_whole_tables(spark):
     assert report.containers <= 1.02 * report.least_containers + 1
     assert sorted(map(tuple, pack(df, 512).collect())) == sorted(map(tuple, got))
     assert pack(df.limit(0), 512).count() == 0
+
+
+def test_triples_beyond_the_largest_lengths():
+    counts = np.zeros(2049, np.int64)
+    counts[1001:1401] = 5
+    counts[500] = 3
+    assert ExactComplement(counts).find(1500) == (500, 500, 500)
+    counts[500] = 2
+    assert ExactComplement(counts).find(1500) is None
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        counts = np.zeros(41, np.int64)
+        counts[rng.integers(1, 41, 4)] = rng.integers(1, 4, 4)
+        items = [i for i in range(41) for _ in range(counts[i])]
+        for gap in range(1, 41):
+            found = ExactComplement(counts).find(gap)
+            possible = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(items, k))
+            assert bool(found) == possible and (not found or (sum(found) == gap and all(counts[x] >= found.count(x) for x in found)))
