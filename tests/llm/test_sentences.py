@@ -65,3 +65,39 @@ def test_rows(spark):
     got = [tuple(r) for r in sentences(docs).orderBy("doc_id", "sentence_no").collect()]
     assert got == [(1, 0, 4, "A b."), (1, 1, 9, "C d!"), (4, 0, 9, "𝒳 is odd."), (4, 1, 14, "Yes.")]
     assert sentences(docs.limit(0)).count() == 0
+
+
+# Two sentences each, by the full stop of the script.
+SCRIPTS = {
+    "Armenian": ["Պոմպը հասավ։", "Այն ստուգվեց։"], "Burmese": ["ပန့်ရောက်ပြီ။", "စစ်ဆေးပြီးပြီ။"], "Khmer": ["ស្នប់មកដល់ហើយ។", "វាត្រូវបានពិនិត្យ។"],
+    "Mongolian": ["ᠰᠣᠷᠣᠭᠤᠯ ᠢᠷᠡᠪᠡ᠃", "ᠰᠢᠯᠭᠠᠪᠠ᠃"], "Javanese": ["ꦥꦺꦴꦩ꧀ꦥ꧉", "ꦠꦺꦏ꧉"], "Urdu": ["پمپ آ گیا۔", "اس کی جانچ ہوئی۔"], "Ethiopic": ["ፓምፑ ደረሰ።", "ተፈተሸ።"], "Santali": ["ᱯᱟᱢᱯ ᱦᱮᱡ᱾", "ᱧᱮᱞ᱾"],
+    "Brahmi (beyond the basic plane)": ["𑀅𑀆𑁇", "𑀇𑀈𑁇"], "Greek": ["Η αντλία ήρθε.", "Ελέγχθηκε."], "Cyrillic": ["Насос прибыл.", "Он проверен."],
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+@pytest.mark.parametrize("gap", [" ", "\n"])
+def test_every_scripts_full_stop(script, gap):
+    assert cut(gap.join(SCRIPTS[script])) == SCRIPTS[script]
+
+
+def test_quotations_of_any_length():
+    inner = "It leaks at the flange. Replace it at once. " * 60
+    text = f'The inspector wrote, "{inner.strip()}" and left. Yes.'
+    assert cut(text) == [text[:-5], "Yes."]
+    assert cut(f"Der Prüfer rief: „{inner.strip()}“ und ging. Ja.")[1:] == ["Ja."]
+    assert cut('The pipe is 5" wide. The other is 3" wide. Both fit.') == ['The pipe is 5" wide.', 'The other is 3" wide.', "Both fit."]
+
+
+def test_caseless_headings_stand_alone_and_wrapped_lines_do_not():
+    assert cut("तकनीकी विवरण\nवाल्व भंडार में अच्छी हालत में पहुँचा। हाँ।") == ["तकनीकी विवरण", "वाल्व भंडार में अच्छी हालत में पहुँचा।", "हाँ।"]
+    assert cut("वाल्व भंडार में\nअच्छी हालत में\nपहुँचा। हाँ।") == ["वाल्व भंडार में\nअच्छी हालत में\nपहुँचा।", "हाँ।"]
+
+
+@pytest.mark.parametrize("text", ["A." * 200_000, "(" * 200_000, "“" * 200_000, "a.\n" * 100_000, "'x " * 100_000, "1." * 200_000, "a" * 400_000, "x! " * 100_000, "ก " * 100_000])
+def test_time_grows_with_length_only(text):
+    import time
+
+    began = time.process_time()
+    assert sentence_ends(text)[-1] == len(text.rstrip())
+    assert time.process_time() - began < 5
