@@ -36,42 +36,61 @@ def _extended(combos: Column, cell: Column) -> Column:
     return F.flatten(F.transform(combos, lambda a: F.transform(cell, lambda b: F.struct((a["r"] + b["r"]).alias("r"), F.concat(a["c"], F.array(b["u"])).alias("c")))))
 
 
-def solve_units(rows: DataFrame, terms: Sequence[tuple[str, float, str, str]], tolerance: float = 0.02) -> DataFrame:
+def solve_units(rows: DataFrame, terms: Sequence[tuple[str, float, str, str]], tolerance: float = 0.02, like: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Chooses one unit a column so that sum(exponent x ln(value x factor)) is nearest 0.
 
     ``terms``: (name, exponent, value column, candidates column); candidates are
-    ARRAY<STRUCT<unit STRING, factor DOUBLE>>. Adds ``residual``, ``unique_solution`` and,
-    for each term, ``<name>_unit`` and ``<name>_canonical``. Non-positive or null values and
-    empty candidate lists leave a row unsolved (nulls). Mass = density x volume is
-    ``[("mass", 1, ..), ("density", -1, ..), ("volume", -1, ..)]``.
+    ARRAY<STRUCT<unit STRING, factor DOUBLE, ...>>, further fields are carried along. Terms paired in
+    ``like`` must come out in units of one ``dimension`` (a field of both). Adds ``residual``,
+    ``unique_solution`` (false where another combination fits within ``tolerance`` and differs in a factor or dimension)
+    and, for each term, ``<name>_unit``, ``<name>_canonical`` and ``<name>_choice`` (the candidate).
+    Non-positive or null values, empty candidate lists and dimensions that never agree leave a row
+    unsolved (nulls). Mass = density x volume is ``[("mass", 1, ..), ("density", -1, ..), ("volume", -1, ..)]``.
     """
-    combos: Column = F.array(F.struct(F.lit(0.0).alias("r"), F.array().cast("array<struct<unit:string,factor:double>>").alias("c")))
+    candidate = rows.schema[terms[0][3]].dataType.simpleString()
+    combos: Column = F.array(F.struct(F.lit(0.0).alias("r"), F.array().cast(candidate).alias("c")))
     for _, exponent, value, candidates in terms:
         combos = _extended(combos, _logs(float(exponent), value, candidates))
+    place = {name: i for i, (name, *_) in enumerate(terms)}
+    if like:
+        combos = F.filter(combos, lambda x: reduce(lambda p, q: p & q, [x["c"][place[a]]["dimension"] == x["c"][place[b]]["dimension"] for a, b in like]))
     ranked = F.array_sort(F.transform(combos, lambda x: F.struct(F.round(F.abs(x["r"]), 9).alias("r"), x["c"].alias("c"))))
     out = rows.withColumn("_ranked", ranked)
     best = F.try_element_at("_ranked", F.lit(1))
-    rival = F.exists("_ranked", lambda x: (x["r"] <= F.try_element_at("_ranked", F.lit(1))["r"] + tolerance) & (F.transform(x["c"], lambda u: u["factor"]) != F.transform(F.try_element_at("_ranked", F.lit(1))["c"], lambda u: u["factor"])))
+    parts = ["factor"] + (["dimension"] if "dimension" in rows.schema[terms[0][3]].dataType.elementType.names else [])
+    meaning = lambda c: F.transform(c, lambda u: F.struct(*[u[p] for p in parts]))
+    rival = F.exists("_ranked", lambda x: (x["r"] <= best["r"] + tolerance) & (meaning(x["c"]) != meaning(best["c"])))
     out = out.withColumn("residual", best["r"]).withColumn("unique_solution", F.when(best.isNotNull(), ~rival)).withColumn("_best", best["c"])
-    for i, (name, _, value, _) in enumerate(terms):
-        chosen = F.try_element_at("_best", F.lit(i + 1))
-        out = out.withColumn(f"{name}_unit", chosen["unit"]).withColumn(f"{name}_canonical", F.col(value) * chosen["factor"])
+    for name, _, value, _ in terms:
+        chosen = F.try_element_at("_best", F.lit(place[name] + 1))
+        out = out.withColumn(f"{name}_unit", chosen["unit"]).withColumn(f"{name}_canonical", F.col(value) * chosen["factor"]).withColumn(f"{name}_choice", chosen)
     return out.drop("_ranked", "_best")
 
 
-def _candidates(*keys: Column) -> Column:
-    """The unit forms that the texts name, as candidates."""
-    return F.array_compact(F.array(*keys))
+def unit_candidates(units: DataFrame) -> DataFrame:
+    """(``form``, ``candidates``): by folded spelling every listed unit that it may mean, as STRUCT<unit, factor, dimension>.
+
+    A spelling that several listed forms share once case, blanks and punctuation are left out has several candidates.
+    """
+    listed = units.select(form_key(F.col("surface_form")).alias("form"), F.struct(F.col("surface_form").alias("unit"), F.col("factor_to_canonical").alias("factor"), F.col("canonical_unit").alias("dimension")).alias("u"))
+    return listed.where("form <> '' and u.factor > 0").groupBy("form").agg(F.sort_array(F.collect_set("u")).alias("candidates"))
+
+
+def _meant(candidates: Column, text: Column) -> Column:
+    """The candidates, or only the one that is spelt exactly as the text."""
+    exact = F.filter(candidates, lambda u: u["unit"] == text)
+    return F.when(F.size(exact) > 0, exact).otherwise(candidates)
 
 
 def ordered_amounts(rows: DataFrame, units: DataFrame, key: str = "corpus_id", quantity: str = "quantity", unit: str = "unit", text: str = "description") -> DataFrame:
     """(``key``, ``amount``, ``surface_form``, ``canonical_unit``, ``factor``, ``canonical``, ``source``, ``unique_solution``) of rows whose amount and listed unit are given.
 
-    The unit column and the unit behind the number are two readings of one amount: the
-    identity amount x behind = amount x column must hold; where the readings contradict,
-    the row is kept with ``unique_solution`` false and no canonical value. With both
-    quantity and unit empty, the text's statement of a required quantity is read. Null,
-    blank, unlisted and invalid values have no row.
+    The unit column and the unit behind the number are two readings of one amount, each with every
+    listed unit it may mean: amount x behind = amount x column, in one dimension. The combination of
+    least residual gives the unit; a silent column may mean whatever the other one means. Where no
+    combination holds, or several of different factors do, the row is kept with ``unique_solution``
+    false and no unit or canonical value. With both quantity and unit empty, the text's statement of a
+    required quantity is read. Null, blank, unlisted and invalid values have no row.
     """
     base = rows.select(F.col(key).alias("_id"), F.col(quantity).alias("_q"), F.col(unit).alias("_u"), F.col(text).alias("_t"))
     silent = is_blank(F.col("_q")) & is_blank(F.col("_u"))
@@ -79,21 +98,18 @@ def ordered_amounts(rows: DataFrame, units: DataFrame, key: str = "corpus_id", q
     read = base.withColumn("_said", F.when(silent & F.col("_t").rlike(r"(?i)qty|quantity|req"), said)).withColumn("_src", F.coalesce("_said", "_q"))
     read = read.withColumn("amount", amount_of(F.col("_src"))).withColumn("_rest", rest_of(F.col("_src")))
     read = read.where(F.col("amount").isNotNull()).withColumn("_kb", form_key(F.col("_rest"))).withColumn("_kc", F.when(F.col("_said").isNull(), form_key(F.col("_u"))))
-    forms = units.select(form_key(F.col("surface_form")).alias("k"), "surface_form", "canonical_unit", F.col("factor_to_canonical").alias("factor")).dropDuplicates(["k"])
-    as_struct = lambda p: forms.select(F.col("k").alias(f"_k{p}"), F.struct("surface_form", "canonical_unit", "factor").alias(f"_f{p}"))
-    known = read.join(as_struct("b"), "_kb", "left").join(as_struct("c"), "_kc", "left")
-    sound = (F.col("_rest") == "") | F.col("_fb").isNotNull()
-    known = known.where(sound & (F.col("_fb").isNotNull() | F.col("_fc").isNotNull()))
-    one = F.col("amount") * 0 + 1
-    pair = known.withColumn("_one", one).withColumn("_cb", _candidates(F.when(F.coalesce("_fb", "_fc").isNotNull(), F.struct(F.coalesce("_fb", "_fc")["surface_form"].alias("unit"), F.coalesce("_fb", "_fc")["factor"].alias("factor")))))
-    pair = pair.withColumn("_cc", _candidates(F.struct(F.coalesce("_fc", "_fb")["surface_form"].alias("unit"), F.coalesce("_fc", "_fb")["factor"].alias("factor"))))
-    solved = solve_units(pair, [("behind", 1.0, "_one", "_cb"), ("column", -1.0, "_one", "_cc")])
-    dimension_agrees = F.coalesce("_fb", "_fc")["canonical_unit"] == F.coalesce("_fc", "_fb")["canonical_unit"]
-    unique = dimension_agrees & (F.col("residual") < 1e-6)
-    chosen = F.coalesce("_fb", "_fc")
+    forms = unit_candidates(units)
+    side = lambda p: forms.select(F.col("form").alias(f"_k{p}"), F.col("candidates").alias(f"_f{p}"))
+    known = read.join(side("b"), "_kb", "left").join(side("c"), "_kc", "left")
+    known = known.where(((F.col("_rest") == "") | F.col("_fb").isNotNull()) & (F.col("_fb").isNotNull() | F.col("_fc").isNotNull()))
+    known = known.withColumn("_mb", _meant(F.col("_fb"), F.col("_rest"))).withColumn("_mc", _meant(F.col("_fc"), F.trim("_u")))
+    pair = known.withColumn("_cb", F.coalesce("_mb", "_mc")).withColumn("_cc", F.coalesce("_mc", "_mb")).withColumn("_v", F.when(F.col("amount") == 0, 1.0).otherwise(F.col("amount")))
+    solved = solve_units(pair, [("behind", 1.0, "_v", "_cb"), ("column", -1.0, "_v", "_cc")], like=[("behind", "column")])
+    unique = F.coalesce(F.col("unique_solution") & (F.col("residual") < 1e-6), F.lit(False))
+    chosen = F.when(unique, F.col("behind_choice"))
     return solved.select(
-        F.col("_id").alias(key), "amount", chosen["surface_form"].alias("surface_form"), chosen["canonical_unit"].alias("canonical_unit"), chosen["factor"].alias("factor"),
-        F.when(unique, F.col("amount") * chosen["factor"]).alias("canonical"),
+        F.col("_id").alias(key), "amount", chosen["unit"].alias("surface_form"), chosen["dimension"].alias("canonical_unit"), chosen["factor"].alias("factor"),
+        (F.col("amount") * chosen["factor"]).alias("canonical"),
         F.when(F.col("_said").isNotNull(), "text").when(F.col("_fb").isNotNull(), "quantity").otherwise("unit").alias("source"), unique.alias("unique_solution"),
     )
 

@@ -15,16 +15,19 @@ _AFTER = r"(?i)\b(?:(?:order|total|required|reqd\.?)\s+)?(?:qty|quantity)(?:\s+(
 _BEFORE = r"(?i)(?:^|[^\w.,])(\+?[\d.,]+(?:[eE][+-]?\d+)?\s*[\p{L}.]+[0-9]?(?:\s+(?:metre|nos)\b)?)\s+(?:required|reqd)\b"
 
 
-@query(
-    f"""
-WITH f AS (SELECT {_FORM.format('surface_form')} AS k, surface_form, canonical_unit, factor_to_canonical AS factor FROM unit_normalisation),
+_READINGS = f"""
+f AS (SELECT {_FORM.format('surface_form')} AS k, surface_form, canonical_unit, factor_to_canonical AS factor FROM unit_normalisation),
 b AS (SELECT corpus_id, quantity AS q, unit AS u, CASE WHEN trim(coalesce(quantity, '')) = '' AND trim(coalesce(unit, '')) = ''
         THEN coalesce(nullif(regexp_extract(description, '{_AFTER}', 1), ''), nullif(regexp_extract(description, '{_BEFORE}', 1), '')) END AS said
       FROM material_description_corpus),
-r AS (SELECT corpus_id, {_AMOUNT.format("coalesce(said, q)")} AS amount, {_REST.format("coalesce(said, q)")} AS rest, CASE WHEN said IS NULL THEN u END AS u FROM b),
-j AS (SELECT r.*, fb.canonical_unit AS cb, fb.factor AS xb, fc.canonical_unit AS cc, fc.factor AS xc
+r AS (SELECT corpus_id, said IS NOT NULL AS by_text, {_AMOUNT.format("coalesce(said, q)")} AS amount, {_REST.format("coalesce(said, q)")} AS rest, CASE WHEN said IS NULL THEN u END AS u FROM b),
+j AS (SELECT r.*, fb.canonical_unit AS cb, fb.factor AS xb, fc.canonical_unit AS cc, fc.factor AS xc, coalesce(fb.surface_form, fc.surface_form) AS surface_form
       FROM r LEFT JOIN f fb ON fb.k = {_FORM.format('r.rest')} LEFT JOIN f fc ON fc.k = {_FORM.format('r.u')}
-      WHERE amount IS NOT NULL AND NOT isinf(amount) AND (rest = '' OR fb.k IS NOT NULL))
+      WHERE amount IS NOT NULL AND NOT isinf(amount) AND (rest = '' OR fb.k IS NOT NULL))"""
+
+
+@query(
+    f"""WITH {_READINGS}
 SELECT corpus_id, coalesce(cb, cc) AS canonical_unit,
        CAST(round(CAST(amount AS DECIMAL(20,6)) * CAST(coalesce(xb, xc) * 1000 AS DECIMAL(16,6)), 0) AS BIGINT) AS canonical_milli
 FROM j WHERE coalesce(xb, xc) <> 1 AND (cb IS NULL OR cc IS NULL OR (cb = cc AND xb = xc))
@@ -36,7 +39,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return converted_amounts(read(spark, sf, "material_description_corpus"), read(spark, sf, "unit_normalisation"))
 
 
-@query()
+@query(
+    f"""WITH {_READINGS}, s AS (SELECT *, cb IS NULL OR cc IS NULL OR (cb = cc AND abs(ln(xb) - ln(xc)) < 1e-6) AS ok FROM j WHERE coalesce(xb, xc) IS NOT NULL)
+SELECT corpus_id, amount, CASE WHEN ok THEN surface_form END AS surface_form, CASE WHEN ok THEN coalesce(cb, cc) END AS canonical_unit, CASE WHEN ok THEN coalesce(xb, xc) END AS factor,
+  CASE WHEN ok THEN amount * coalesce(xb, xc) END AS canonical, CASE WHEN by_text THEN 'text' WHEN xb IS NOT NULL THEN 'quantity' ELSE 'unit' END AS source, ok AS unique_solution FROM s"""
+)
 def p3_amounts(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.units_identity import ordered_amounts
 

@@ -49,3 +49,17 @@ def test_mass_density_volume(spark):
     fixed = rows.where("id = 'x'").withColumn("vc", F.slice("vc", 1, 1)).withColumn("dc", F.slice("dc", 1, 1))
     one = solve_units(fixed, [("mass", 1, "m", "mc"), ("density", -1, "d", "dc"), ("volume", -1, "v", "vc")]).first()
     assert (one.mass_unit, one.unique_solution) == ("g", True)
+
+
+def test_the_solver_chooses_among_what_a_spelling_may_mean(spark, units):
+    listed = units.unionByName(spark.createDataFrame([("MG", "KG", "mass", 1000.0, None), ("mg", "KG", "mass", 1e-6, None), ("Kgs", "KG", "mass", 1.0, None), ("S.Q", "M2", "area", 2.0, None), ("SQ", "KG", "mass", 2.0, None)], units.schema))
+    rows = corpus(spark, [
+        ("open", "5 Mg", None, "x"), ("spelt", "5 mg", None, "x"), ("tied", "5 Mg", "MG", "x"), ("none", "5 Mg", "KG", "x"), ("zero", "0 mg", None, "x"),
+        ("same", "5", "K.G.S", "x"), ("dimension", "5", "s q", "x"), ("settled", "5 s q", "S.Q", "x"), ("apart", "2 DOZEN", "GRAM", "x"), ("both open", "5 Mg", "Mg", "x"),
+    ])
+    got = {r.corpus_id: (r.surface_form, r.canonical and round(r.canonical, 12), r.unique_solution) for r in ordered_amounts(rows, listed).collect()}
+    assert got == {
+        "open": (None, None, False), "both open": (None, None, False), "spelt": ("mg", 5e-6, True), "tied": ("MG", 5000.0, True), "none": (None, None, False), "zero": ("mg", 0.0, True),
+        "same": ("Kgs", 5.0, True), "dimension": (None, None, False), "settled": ("S.Q", 10.0, True), "apart": (None, None, False),
+    }
+    assert {r.corpus_id for r in converted_amounts(rows, listed).collect()} == {"spelt", "tied", "zero", "settled"}
