@@ -1,11 +1,11 @@
 """Duplicates hidden by formatting differences.
 
 Every text streams through a lookup table that folds letter case and skips blanks and
-punctuation; what remains runs into rolling polynomial hashes of its words (a word: a
-run of letters, or a number with its decimal point), all in numpy over whole Arrow
-batches, so no canonical string is built. The sum of a description's word hashes does
-not depend on the order of fields. Rows that collide are then verified field by field
-with two pointers that skip what the table skips, and rows that fail that stand apart.
+punctuation; what remains runs into rolling polynomial hashes, all in numpy over whole
+Arrow batches, so no canonical string is built. Candidates share the hash of the whole
+reference and a sum over the description's characters, which neither blanks nor the order
+of fields change. Rows that collide are then verified: their fields are paired by hash and
+compared with two pointers that skip what the table skips; rows that fail stand apart.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.durable import durable
 from ..session import spread
 
-LETTER, DIGIT, POINT = 1, 2, 3
+LETTER, DIGIT, POINT, BLANK = 1, 2, 3, 4
 
 
 @lru_cache(1)
@@ -38,6 +39,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             f = unicodedata.normalize("NFKC", c).casefold()
             fold[cp] = ord(f) if len(f) == 1 else cp
             kind[cp] = DIGIT if c.isdigit() else LETTER
+        elif c.isspace():
+            kind[cp] = BLANK
     fold[0x2E], kind[0x2E] = 0x2E, POINT
     return fold, kind
 
@@ -58,133 +61,175 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def text_hashes(texts: list[str | None], ordered: bool) -> np.ndarray:
-    """One 64-bit hash a text (null as empty); ``ordered``: of the whole stream of a code, in which a point is punctuation, else the order-free sum over a text's words."""
-    fold, kind = _tables()
-    joined = "\n".join(t or "" for t in texts)
-    cps = np.frombuffer(joined.encode("utf-32-" + ("le" if sys.byteorder == "little" else "be"), "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
-    row = np.repeat(np.arange(len(texts)), lengths)[: len(cps)]
-    k = kind[cps]
-    digit = k == DIGIT
-    inside = np.zeros(len(cps), bool)
-    if len(cps) > 2:
-        inside[1:-1] = digit[:-2] & digit[2:]
-    live = (k == LETTER) | digit
-    if not ordered:
-        live |= (k == POINT) & inside
-    at = np.flatnonzero(live)
-    out = np.zeros(len(texts), np.uint64)
-    if not len(at):
-        return out
-    c, r = fold[cps[at]].astype(np.uint64), row[at]
-    n = 1 << max(16, int(len(at) - 1).bit_length())
-    up, down = _powers(n)
-    with np.errstate(over="ignore"):
-        rolling = np.cumsum(_mix(c + np.uint64(0x1234567)) * up[: len(at)])
-        new_row = np.r_[True, r[1:] != r[:-1]]
-        if ordered:
-            start = np.flatnonzero(new_row)
-        else:
-            number = k[at] != LETTER
-            start = np.flatnonzero(new_row | np.r_[True, (at[1:] != at[:-1] + 1) | (number[1:] != number[:-1])])
-        stop = np.r_[start[1:], len(at)] - 1
-        word = (rolling[stop] - np.where(start > 0, rolling[start - 1], np.uint64(0))) * down[start]
-        word = _mix(word + (stop - start + 1).astype(np.uint64))
-        np.add.at(out, r[start], word)
-    return out
+class Streams:
+    """What the table leaves of a batch of texts: ``chars`` (folded, in order), the ``row`` of each and, for fields, its ``field``.
+
+    ``points``: a point between digits stays. Positions of skipped characters are never copied anywhere.
+    """
 
+    def __init__(self, texts: list[str | None], points: bool):
+        fold, kind = _tables()
+        self.rows = len(texts)
+        joined = "\n".join(t or "" for t in texts)
+        cps = np.frombuffer(joined.encode("utf-32-" + ("le" if sys.byteorder == "little" else "be"), "surrogatepass"), np.uint32)
+        lengths = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+        k = kind[cps]
+        digit = k == DIGIT
+        live = (k == LETTER) | digit
+        if points and len(cps) > 2:
+            inside = np.zeros(len(cps), bool)
+            inside[1:-1] = digit[:-2] & digit[2:]
+            live |= (k == POINT) & inside
+        at = np.flatnonzero(live)
+        self.chars = fold[cps[at]].astype(np.uint64)
+        self.row = np.repeat(np.arange(len(texts)), lengths)[: len(cps)][at]
+        self.count = np.bincount(self.row, minlength=self.rows)
+        self.start = np.cumsum(self.count) - self.count
+        self._cps, self._kind, self._at = cps, k, at
+
+    def hashes(self, first: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of the runs of characters that begin at ``first`` (and end before the next one's)."""
+        n = len(self.chars)
+        up, down = _powers(1 << max(16, int(n).bit_length()))
+        with np.errstate(over="ignore"):
+            rolling = np.cumsum(_mix(self.chars + np.uint64(0x1234567)) * up[:n])
+            stop = np.r_[first[1:], n] - 1
+            run = (rolling[stop] - np.where(first > 0, rolling[first - 1], np.uint64(0))) * down[first]
+            return _mix(run + (stop - first + 1).astype(np.uint64))
+
+    def fields(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first character, number of characters, row) of every field that holds a character.
+
+        Fields end at a comma, semicolon, bar, line break, or a dash, slash or bullet between blanks.
+        """
+        cps, k = self._cps, self._kind
+        mark = np.isin(cps, _MARKS)
+        dash = np.isin(cps, _DASHES)
+        if len(cps) > 2 and dash.any():
+            blank = k == BLANK
+            dash[1:-1] &= blank[:-2] & blank[2:]
+            dash[0] = dash[-1] = False
+            mark |= dash
+        field = np.cumsum(mark)[self._at]
+        first = np.flatnonzero(np.r_[True, (field[1:] != field[:-1]) | (self.row[1:] != self.row[:-1])]) if len(field) else np.zeros(0, np.int64)
+        return first, np.diff(np.r_[first, len(field)]), self.row[first]
+
+
+_MARKS = np.array([ord(c) for c in ",;|\n"], np.uint32)
+_DASHES = np.array([ord(c) for c in "-–/•"], np.uint32)
 
-_MARKS = frozenset(",;|\n")
 
+def text_hashes(texts: list[str | None], ordered: bool) -> np.ndarray:
+    """One 64-bit hash a text (null as empty).
 
-def _fields(s: str) -> list[tuple[int, int]]:
-    """Spans between field marks: comma, semicolon, bar, line break, or a dash or slash between blanks. (A comma within a number parts it in both texts.)"""
-    out, start = [], 0
-    for i, c in enumerate(s):
-        if c in _MARKS or (c in "-–/•" and 0 < i < len(s) - 1 and s[i - 1].isspace() and s[i + 1].isspace()):
-            out.append((start, i))
-            start = i + 1
-    out.append((start, len(s)))
+    ``ordered``: of the whole stream of a code, in which a point is punctuation. Else a sum over the
+    characters, which neither blanks nor the order of fields change (fields are compared afterwards).
+    """
+    s = Streams(texts, not ordered)
+    out = np.zeros(s.rows, np.uint64)
+    filled = np.flatnonzero(s.count)
+    if len(filled):
+        first = s.start[filled]
+        with np.errstate(over="ignore"):
+            out[filled] = s.hashes(first) if ordered else np.add.reduceat(_mix(s.chars + np.uint64(0x1234567)), first)
     return out
 
 
-def _live(s: str, i: int, fold: np.ndarray, kind: np.ndarray) -> int:
-    """Folded character at ``i``, 0 if it is skipped there."""
-    cp = ord(s[i])
-    if kind[cp] == POINT:
-        return int(fold[cp]) if 0 < i < len(s) - 1 and kind[ord(s[i - 1])] == DIGIT and kind[ord(s[i + 1])] == DIGIT else 0
-    return int(fold[cp])
+def _all_equal(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """By row of ``counts`` characters: whether all are equal."""
+    same = np.ones(len(counts), bool)
+    filled = np.flatnonzero(counts)
+    if len(filled):
+        same[filled] = np.logical_and.reduceat(a == b, (np.cumsum(counts) - counts)[filled])
+    return same
 
 
-def _match(a: str, lo: int, hi: int, b: str, at: int) -> int:
-    """Two pointers: the end in ``b`` if the live characters of ``a[lo:hi]`` stand at ``b[at:]``, else -1."""
-    fold, kind = _tables()
-    i, j = lo, at
-    while True:
-        while i < hi and not _live(a, i, fold, kind):
-            i += 1
-        if i == hi:
-            return j
-        while j < len(b) and not _live(b, j, fold, kind):
-            j += 1
-        if j == len(b) or _live(a, i, fold, kind) != _live(b, j, fold, kind):
-            return -1
-        i, j = i + 1, j + 1
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places ``first .. first + count - 1`` of every range, one after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def same_stream(a: str, b: str) -> bool:
-    """Whether two texts are the same apart from what the table skips and folds."""
-    fold, kind = _tables()
-    end = _match(a, 0, len(a), b, 0)
-    return end >= 0 and all(not _live(b, j, fold, kind) for j in range(end, len(b)))
+def same_codes(a: list[str], b: list[str]) -> np.ndarray:
+    """Pairwise: the same letters and digits in the same order; points are punctuation in codes."""
+    return _same_order(Streams(a, False), Streams(b, False))
 
 
-_GAP = re.compile(r"\s{2,}")
+def _same_order(x: Streams, y: Streams) -> np.ndarray:
+    """Two pointers over the kept characters of both sides, side by side for all pairs of a batch."""
+    same = x.count == y.count
+    at = np.flatnonzero(same)
+    same[at] = _all_equal(x.chars[_ranges(x.start[at], x.count[at])], y.chars[_ranges(y.start[at], y.count[at])], x.count[at])
+    return same
 
 
-def _gaps(s: str) -> list[tuple[int, int]]:
-    """Spans between wide gaps, for texts that part their fields by nothing else."""
-    cuts = [(0, 0), *(m.span() for m in _GAP.finditer(s)), (len(s), len(s))]
-    return [(a[1], b[0]) for a, b in zip(cuts, cuts[1:])]
-
-
-def _made_up_of(a: str, fields: list[tuple[int, int]], b: str) -> bool:
-    """Whether the given fields of ``a``, each whole and used once, follow one another in some order in ``b``."""
-    fold, kind = _tables()
-    rest = [f for f in fields if any(_live(a, i, fold, kind) for i in range(*f))]
-    rest.sort(key=lambda f: f[0] - f[1])
-    stack = [(0, tuple(range(len(rest))))]
-    seen = set()
-    while stack:
-        at, left = stack.pop()
-        if not left:
-            if all(not _live(b, j, fold, kind) for j in range(at, len(b))):
-                return True
-            continue
-        if (at, left) in seen:
-            continue
-        seen.add((at, left))
-        for k in reversed(left):
-            end = _match(a, *rest[k], b, at)
-            if end >= 0:
-                stack.append((end, tuple(x for x in left if x != k)))
-    return False
+def same_fields(a: list[str], b: list[str]) -> np.ndarray:
+    """Pairwise: whether the fields of one text, each whole and in any order, make up the other.
+
+    Equal streams are the same; else fields are paired by hash, as often as each occurs, and compared
+    character by character; where the sides mark their fields differently, ``_made_up_of`` looks.
+    """
+    x, y = Streams(a, True), Streams(b, True)
+    same = _same_order(x, y)
+    open_ = np.flatnonzero(~same & (x.count == y.count) & (x.count > 0))
+    if not len(open_):
+        return same
+    wanted = np.zeros(x.rows, bool)
+    wanted[open_] = True
+    sides = []
+    for s in (x, y):
+        first, count, row = s.fields()
+        h = s.hashes(first)
+        order = np.lexsort((h, row))
+        order = order[wanted[row[order]]]
+        sides.append((first[order], count[order], row[order], h[order]))
+    (fx, cx, rx, hx), (fy, cy, ry, hy) = sides
+    nx, ny = np.bincount(rx, minlength=x.rows), np.bincount(ry, minlength=x.rows)
+    even = wanted & (nx == ny)
+    keep_x, keep_y = even[rx], even[ry]
+    alike = np.zeros(x.rows, bool)
+    rows = np.flatnonzero(even)
+    alike[rows] = _all_equal(hx[keep_x], hy[keep_y], nx[rows]) & _all_equal(cx[keep_x], cy[keep_y], nx[rows])
+    keep_x, keep_y = alike[rx], alike[ry]
+    rows = np.flatnonzero(alike)
+    same[rows] = _all_equal(x.chars[_ranges(fx[keep_x], cx[keep_x])], y.chars[_ranges(fy[keep_y], cy[keep_y])], x.count[rows])
+    for i in np.flatnonzero(wanted & ~same):
+        same[i] = _made_up_of(a[i], b[i])
+    return same
+
+
+_MARKED = re.compile(r"[,;|\n]|(?<=\s)[-–/•](?=\s)")
+_GAP = re.compile(r"\s{2,}")
+
 
+def _made_up_of(a: str, b: str) -> bool:
+    """Whether one text's fields make up the other, which marks them otherwise or not at all. The text with more marks gives the fields; without marks, wide gaps do."""
+    if len(_MARKED.findall(b)) > len(_MARKED.findall(a)):
+        a, b = b, a
+    return any(_laid_out(parts.split(s), t) for parts, s, t in ((_MARKED, a, b), (_GAP, a, b), (_GAP, b, a)))
 
-def same_code(a: str, b: str) -> bool:
-    """Whether two codes hold the same letters and digits in the same order; points are punctuation there."""
-    return same_stream(a.replace(".", " "), b.replace(".", " "))
 
+def _laid_out(fields: list[str], text: str) -> bool:
+    """Whether the fields, each as often as it occurs, follow one another in some order in ``text``.
 
-def same_fields(a: str, b: str) -> bool:
-    """Whether the fields of one text, each whole and in any order, make up the other. The text with more field marks gives the fields; without marks, wide gaps do."""
-    if same_stream(a, b):
-        return True
-    fa, fb = _fields(a), _fields(b)
-    if len(fb) > len(fa):
-        a, b, fa = b, a, fb
-    return _made_up_of(a, fa, b) or _made_up_of(a, _gaps(a), b) or _made_up_of(b, _gaps(b), a)
+    Where one field begins another, the longer is tried first all the way, then the shorter; there is no
+    search over orders, so the time is the length of the text times the number of different fields.
+    """
+    streams = Streams([*fields, text], True)
+    parts = [streams.chars[streams.start[i] : streams.start[i] + streams.count[i]].tolist() for i in range(len(fields) + 1)]
+    body = parts.pop()
+    counted = Counter(tuple(p) for p in parts if p)
+    for longest in (True, False):
+        left, at = dict(counted), 0
+        by_length = sorted(left, key=len, reverse=longest)
+        while at < len(body):
+            hit = next((f for f in by_length if left[f] and f[0] == body[at] and list(f) == body[at : at + len(f)]), None)
+            if hit is None:
+                break
+            left[hit] -= 1
+            at += len(hit)
+        if at == len(body) and not any(left.values()):
+            return True
+    return False
 
 
 def hashed(rows: DataFrame, key: str, text: str, reference: str) -> DataFrame:
@@ -213,14 +258,16 @@ def format_copies(rows: DataFrame, key: str, text: str, reference: str) -> DataF
 
         @F.pandas_udf("boolean")
         def verified(t: pd.Series, r: pd.Series, t0: pd.Series, r0: pd.Series) -> pd.Series:
-            return pd.Series([same_code(b, d) and same_fields(a, c) for a, b, c, d in zip(t, r, t0, r0)], dtype=bool)
+            return pd.Series(same_codes(list(r), list(r0)) & same_fields(list(t), list(t0)))
 
         pairs = every.join(heads, ["_h", "_g"]).where("_id <> _first._id")
         same = (F.col("_t") == F.col("_first._t")) & (F.col("_r") == F.col("_first._r"))
-        tested = durable(pairs.withColumn("_ok", F.when(same, True).otherwise(verified("_t", "_r", "_first._t", "_first._r"))))
-        found = tested.where("_ok").select(F.col("_first._id").alias("first_id"), F.col("_id").alias("copy_id"))
+        # of what is settled only the two ids are written, of what isn't the row as it was
+        tested = pairs.withColumn("_ok", F.when(same, True).otherwise(verified("_t", "_r", "_first._t", "_first._r")))
+        tested = durable(tested.select("_id", "_h", "_g", *[F.when(~F.col("_ok"), F.col(c)).alias(c) for c in ("_t", "_r")], F.when(F.col("_ok"), F.col("_first._id")).alias("_to")))
+        found = tested.where("_to is not null").select(F.col("_to").alias("first_id"), F.col("_id").alias("copy_id"))
         out = found if out is None else out.unionByName(found)
-        every = tested.where("not _ok").select("_id", "_h", "_g", "_t", "_r")
+        every = tested.where("_to is null").select("_id", "_h", "_g", "_t", "_r")
         if every.isEmpty():
             return out
 
