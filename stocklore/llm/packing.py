@@ -36,47 +36,61 @@ class Use:
 
 
 class ExactComplement:
-    """Finds a multiset of one to three available lengths with a given sum."""
+    """Index of the sums of one, two and three available lengths, kept up as counts change.
+
+    ``pairs[s]`` is the number of pairs of available lengths with sum ``s`` (a length twice needs two items);
+    a triple of sum ``s`` is a length ``a`` with ``pairs[s - a]``. A length that runs out or comes back
+    changes one slice of the index.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.one = counts > 0
+        self.two = counts > 1
+        n = len(counts)
+        self.pairs = np.zeros(2 * n, np.int64)
+        for length in np.flatnonzero(self.one):
+            self.pairs[length + 1 + length : length + n] += self.one[length + 1 :]
+        self.pairs[2 * np.flatnonzero(self.two)] += 1
+
+    def add(self, length: int, items: int) -> None:
+        """``items`` more (or, if negative, fewer) of a length."""
+        self.counts[length] += items
+        one, two = self.counts[length] > 0, self.counts[length] > 1
+        if one != self.one[length]:
+            self.one[length] = False
+            self.pairs[length : length + len(self.one)] += self.one if one else -self.one.astype(np.int64)
+            self.one[length] = one
+        if two != self.two[length]:
+            self.two[length] = two
+            self.pairs[2 * length] += 1 if two else -1
 
     def find(self, gap: int) -> tuple[int, ...] | None:
-        n = self.counts
-        if gap < 1 or gap >= len(n) + len(n):
+        """One to three available lengths that fill ``gap`` exactly, the fewest and largest first."""
+        if gap < 1:
             return None
-        if gap < len(n) and n[gap]:
+        if gap < len(self.one) and self.one[gap]:
             return (gap,)
-        here = np.flatnonzero(n[: gap + 1] > 0)
-        pair = self._pair(gap, here)
+        pair = self._pair(gap)
         if pair:
             return pair
+        here = np.flatnonzero(self.one[: gap + 1])
         largest = here[here * 3 >= gap][::-1]
-        for a in largest[self._pair_sums(gap)[gap - largest]]:
-            n[a] -= 1
-            rest = self._pair(int(gap - a), here)
-            n[a] += 1
+        for a in largest[self.pairs[gap - largest] > 0]:
+            self.add(a, -1)
+            rest = self._pair(int(gap - a))
+            self.add(a, 1)
             if rest:
                 return (int(a), *rest)
         return None
 
-    def _pair_sums(self, gap: int) -> np.ndarray:
-        """Which sums up to ``gap`` two lengths have, whatever their counts."""
-        size = 1 << (2 * gap + 1).bit_length()
-        seen = np.fft.rfft(self.counts[: gap + 1] > 0, size)
-        return np.fft.irfft(seen * seen, size)[: gap + 1] > 0.5
-
-    def _pair(self, gap: int, here: np.ndarray) -> tuple[int, int] | None:
-        n = self.counts
-        low = here[here * 2 <= gap]
-        other = gap - low
-        ok = (n[low] > 0) & (other < len(n))
-        low, other = low[ok], other[ok]
-        ok = (n[other] > 0) & ((other != low) | (n[low] > 1))
-        if not ok.any():
+    def _pair(self, gap: int) -> tuple[int, int] | None:
+        if gap < 2 or gap >= len(self.pairs) or not self.pairs[gap]:
             return None
-        k = np.flatnonzero(ok)[-1]
-        return int(other[k]), int(low[k])
+        low = np.arange(max(1, gap - len(self.one) + 1), gap // 2 + 1)
+        ok = self.one[low] & self.one[gap - low] & ((low * 2 != gap) | self.two[low])
+        k = int(low[np.flatnonzero(ok)[-1]])
+        return gap - k, k
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[Use]:
@@ -98,7 +112,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Use]:
         while pick:
             for length in pick:
                 content[length] += 1
-                counts[length] -= 1
+                exact.add(length, -1)
                 gap -= length
             if not gap:
                 break
@@ -106,12 +120,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Use]:
             if not pick:
                 fits = np.flatnonzero(counts[: gap + 1])
                 pick = (int(fits[-1]),) if len(fits) else None
+        containers = 1 + int(min(counts[length] // k for length, k in content.items()))
         for length, k in content.items():
-            counts[length] += k
-        containers = int(min(counts[length] // k for length, k in content.items()))
-        for length, k in content.items():
-            uses.append(Use(length, int(total[length] - counts[length]), k, base, containers))
-            counts[length] -= k * containers
+            uses.append(Use(length, int(total[length] - counts[length] - k), k, base, containers))
+            exact.add(length, -k * (containers - 1))
         base += containers
 
 
