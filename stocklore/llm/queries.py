@@ -46,19 +46,18 @@ def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("reference_entry = '-'").groupBy("value").agg(F.count("*").alias("rows"))
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+def _garbled(spark: SparkSession, sf: str) -> DataFrame:
     from .encoding_repair import garbled_rows
 
-    return garbled_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "description").select("corpus_id")
+    return garbled_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "description", "document_url", _read(spark, sf, "data_quality_report"))
 
 
-def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
-    from .encoding_repair import garbled_rows
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf).select("corpus_id")
+
 
-    corpus = _read(spark, sf, "material_description_corpus")
-    noted = _read(spark, sf, "data_quality_report").groupBy("source_path").agg(F.min(F.lower("encoding")).alias("noted_encoding"))
-    rows = garbled_rows(corpus, "corpus_id", "description").join(corpus.select("corpus_id", F.col("document_url").alias("source_path")), "corpus_id")
-    return rows.join(noted, "source_path", "left")
+def p7_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf)
 
 
 CAPACITY = 2048
@@ -83,17 +82,23 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p8_packed(spark, sf), CAPACITY)
 
 
-def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+def _slim(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.durable import durable
+
+    return durable(_sized(spark, sf).select("doc_id", "source", "n_tokens"))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     from .mixture import mixture
 
-    return mixture(durable(_sized(spark, sf).select("doc_id", "source", "text", "n_tokens")), _read(spark, sf, "source_weights"))
+    return mixture(_read(spark, sf, "documents"), _slim(spark, sf), _read(spark, sf, "source_weights"))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    from .mixture import shares
+    from .mixture import mixed_sizes, shares
 
-    return shares(p9_mixture(spark, sf).drop("text"), _read(spark, sf, "source_weights"))
+    weights = _read(spark, sf, "source_weights")
+    return shares(mixed_sizes(_slim(spark, sf), weights), weights)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

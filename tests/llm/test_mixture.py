@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stocklore.llm.mixture import _capped_mean, mixture, poisson_inverse, rate_for, shares
+from stocklore.llm.mixture import _capped_mean, mixed_sizes, mixture, plan, poisson_inverse, rate_for, shares
 
 
 def test_poisson_numbers(spark):
@@ -19,12 +19,23 @@ def test_shares_and_caps(spark):
     rows = [(i, "abc"[min(2, int(rnd.expovariate(1.2)))], f"t{i}", rnd.randrange(1, 400)) for i in range(3000)] + [(9001, None, "x", 5), (9002, "a", None, 0), (9003, "d", "x", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_tokens int").withColumn("rate", F.lit(9)).withColumn("cap", F.lit(9))
     weights = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 2), ("c", 0.4, 3), ("e", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixture(docs, weights).cache()
+    mixed = mixture(docs, docs, weights).cache()
     for r in shares(mixed, weights).collect():
         assert abs(r.reached_share - r.target_share) < 0.01 and r.most_repeats <= r.max_repeats
     seen = mixed.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d")).where("n <> d")
     assert seen.count() == 0 and mixed.where("source = 'd' or source is null").count() == 0
-    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixture(docs, weights).collect()))
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixture(docs, docs, weights).collect()))
     keys = [r.order_key for r in mixed.collect()]
     assert keys == sorted(keys)
-    assert mixture(docs.limit(0), weights).count() == 0 and mixture(docs, weights.limit(0)).count() == 0
+    assert mixture(docs.limit(0), docs.limit(0), weights).count() == 0 and mixture(docs, docs, weights.limit(0)).count() == 0
+
+
+def test_every_share_is_within_one_document(spark):
+    rnd = random.Random(8)
+    rows = [(i, "abcdef"[min(5, int(rnd.expovariate(0.9)))], rnd.choice([3, 40, 40, 700, 9000])) for i in range(4000)] + [(9000 + i, "few", 50 + i) for i in range(5)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int").withColumn("n", F.lit(3)).withColumn("_off", F.lit(3))
+    weights = spark.createDataFrame([("a", 0.2, 2), ("b", 0.3, 4), ("c", 0.2, 3), ("d", 0.2, 9), ("e", 0.0999, 9), ("few", 0.0001, 3)], "source string, target_share double, max_repeats int")
+    aim = plan(sized.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")), weights, 0.6).set_index("source")
+    for r in shares(mixed_sizes(sized, weights), weights).collect():
+        longest = max(n for _, s, n in rows if s == r.source)
+        assert abs(r.tokens - aim.wanted[r.source]) <= longest and r.most_repeats <= r.max_repeats, r
