@@ -4,7 +4,7 @@ Each document's number of copies inverts a Poisson distribution at a uniform num
 hashed from its id, so a rerun or a lost executor gives the same mixture. A source's
 mean is its target repetition rate, capped at its allowed repeats. What a draw lacks or
 has too much by chance is corrected by single copies in hash order, found by sums over
-buckets of the hash, so that every source ends within one document of its target.
+buckets of the hash, so that every source ends within one document of its target, mostly far closer.
 Documents are exploded by their counts and shuffled globally by a hash.
 Sizes only are planned; texts are joined at the end. Only sums by source (one row a
 source) reach the driver.
@@ -76,16 +76,17 @@ def plan(sized: DataFrame, weights: DataFrame, headroom: float) -> pd.DataFrame:
     return have
 
 
-def _corrected(drawn: DataFrame, wanted: pd.DataFrame, seed: int) -> DataFrame:
-    """``drawn`` (doc_id, source, n_tokens, cap, n) with ``n`` one up or down for the first documents of each source in hash order, until its tokens are within one document of those wanted.
+def _corrected(drawn: DataFrame, wanted: pd.DataFrame, seed: int, tolerance: float) -> DataFrame:
+    """``drawn`` (doc_id, source, n_tokens, cap, n) with ``n`` one up or down for the first documents of each source in hash order, until its tokens are within ``tolerance`` of those wanted or no document brings them nearer.
 
-    Sums over 2^16 buckets of the hash tell the bucket where the missing (or surplus) tokens are used up;
+    Documents too long to bring the sum nearer are passed over. Sums over 2^16 buckets of the hash tell the bucket where the missing (or surplus) tokens are used up;
     only that bucket's documents, about one in 65,536, are ranked. A round changes a document by one copy,
     so sources of few documents may take several; each is written to the shared folder.
     """
     spark = drawn.sparkSession
     target = F.broadcast(spark.createDataFrame(wanted[["source", "wanted"]]))
     order = F.struct("_h", "doc_id")
+    aims = dict(zip(wanted.source, wanted.wanted))
     best: dict[str, float] = {}
     before = None
     while True:
@@ -94,13 +95,13 @@ def _corrected(drawn: DataFrame, wanted: pd.DataFrame, seed: int) -> DataFrame:
             release(before)
         off = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("_t")).join(target, "source").select("source", (F.col("wanted") - F.col("_t")).alias("_off"))
         distance = {r.source: r._off for r in off.collect()}
-        going = {s: d for s, d in distance.items() if abs(d) >= 1 and abs(d) < best.get(s, float("inf"))}
+        going = {s: d for s, d in distance.items() if abs(d) > tolerance * aims[s] and abs(d) < best.get(s, float("inf"))}
         if not going:
             return drawn
         best |= {s: abs(d) for s, d in going.items()}
         aim = F.broadcast(spark.createDataFrame([(s, float(d)) for s, d in going.items()], f"source {dict(drawn.dtypes)['source']}, _off double"))
         movable = drawn.join(aim, "source").where(F.when(F.col("_off") > 0, F.col("n") < F.col("cap")).otherwise(F.col("n") > 0))
-        movable = movable.select("doc_id", "source", "n_tokens", "_off", F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_bucket", F.shiftright("_h", 48))
+        movable = movable.where(F.col("n_tokens") <= 2 * F.abs("_off")).select("doc_id", "source", "n_tokens", "_off", F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_bucket", F.shiftright("_h", 48))
         sums = movable.groupBy("source", "_bucket", "_off").agg(F.sum("n_tokens").alias("_t"))
         upto = sums.withColumn("_upto", F.sum("_t").over(Window.partitionBy("source").orderBy("_bucket")))
         edge = upto.where(F.col("_upto") >= F.abs("_off")).groupBy("source").agg(F.min("_bucket").alias("_edge"), F.min(F.col("_upto") - F.col("_t")).alias("_before"))
@@ -112,16 +113,16 @@ def _corrected(drawn: DataFrame, wanted: pd.DataFrame, seed: int) -> DataFrame:
         moved = drawn.join(aim, "source", "left").join(F.broadcast(cut), "source", "left").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
         step = F.signum("_off").cast("int")
         first = F.col("_edge").isNull() | (F.shiftright("_h", 48) < F.col("_edge")) | F.coalesce(order <= F.col("_last"), F.lit(False))
-        able = F.when(F.col("_off") > 0, F.col("n") < F.col("cap")).when(F.col("_off") < 0, F.col("n") > 0).otherwise(False)
+        able = (F.col("n_tokens") <= 2 * F.abs("_off")) & F.when(F.col("_off") > 0, F.col("n") < F.col("cap")).when(F.col("_off") < 0, F.col("n") > 0).otherwise(False)
         before, drawn = drawn, moved.select("doc_id", "source", "n_tokens", "cap", (F.col("n") + F.when(able & first, step).otherwise(0)).alias("n"))
 
 
-def mixed_sizes(sized: DataFrame, weights: DataFrame, headroom: float = 0.6, seed: int = 17) -> DataFrame:
+def mixed_sizes(sized: DataFrame, weights: DataFrame, headroom: float = 0.6, seed: int = 17, tolerance: float = 1e-3) -> DataFrame:
     """Rows (``doc_id``, ``copy``, ``source``, ``n_tokens``, ``order_key``) of the mixture, without texts and order.
 
     ``sized``: doc_id (unique), source, n_tokens. Numbers of copies are Poisson numbers inverted at hashed
     uniform numbers; what a source's draw then lacks or has too much is corrected by single copies in hash
-    order, so every source ends within one document of its target. No document comes more than its
+    order, so every source ends within ``tolerance`` of its target or one document of it. No document comes more than its
     source's ``max_repeats`` times; documents without tokens and of unknown or null sources don't come.
     """
     usable = sized.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens")).where("n_tokens > 0 and source is not null")
@@ -130,14 +131,14 @@ def mixed_sizes(sized: DataFrame, weights: DataFrame, headroom: float = 0.6, see
         return usable.limit(0).select("doc_id", F.lit(1).alias("copy"), "source", "n_tokens", F.lit(0).cast("bigint").alias("order_key"))
     table = usable.sparkSession.createDataFrame(rates[["source", "rate", "cap"]])
     drawn = usable.join(F.broadcast(table), "source").withColumn("n", poisson_inverse(uniform(seed, "doc_id"), F.col("rate"), F.col("cap")).cast("int"))
-    counted = _corrected(drawn.select("doc_id", "source", "n_tokens", "cap", "n"), rates, seed + 2).where("n > 0")
+    counted = _corrected(drawn.select("doc_id", "source", "n_tokens", "cap", "n"), rates, seed + 2, tolerance).where("n > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return copies.select("doc_id", "copy", "source", "n_tokens", F.xxhash64(F.lit(seed + 1), "doc_id", "copy").alias("order_key"))
 
 
-def mixture(documents: DataFrame, sized: DataFrame, weights: DataFrame, headroom: float = 0.6, seed: int = 17) -> DataFrame:
+def mixture(documents: DataFrame, sized: DataFrame, weights: DataFrame, headroom: float = 0.6, seed: int = 17, tolerance: float = 1e-3) -> DataFrame:
     """Rows (``doc_id``, ``copy``, ``source``, ``n_tokens``, ``order_key``, ``text``) in global random order: ``mixed_sizes`` with the texts of ``documents`` (doc_id, text)."""
-    mixed = mixed_sizes(sized, weights, headroom, seed).join(documents.select("doc_id", "text"), "doc_id")
+    mixed = mixed_sizes(sized, weights, headroom, seed, tolerance).join(documents.select("doc_id", "text"), "doc_id")
     return mixed.select("doc_id", "copy", "source", "n_tokens", "order_key", "text").repartitionByRange("order_key").sortWithinPartitions("order_key")
 
 
