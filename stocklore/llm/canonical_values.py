@@ -1,12 +1,15 @@
 """Mapping free-entered values to a canonical list.
 
 Values are deduplicated before anything is scored. A character n-gram inverted index of
-the reference list gives the candidates of a value, weighted cosine scores them (rare
-n-grams weigh more), and the best is accepted above a threshold and a margin over the
-next; among candidates within the margin the smaller edit distance decides.
-
-The reference list is broadcast in blocks of at most ``block`` entries; a longer list
-takes several blocks, of which the best candidates are merged, so no list is too long.
+the reference list gives the candidates of a value and their weighted cosine (rare n-grams
+weigh more); an entry that stands literally among a value's words scores by its share of
+the value's characters or words. The best candidate is accepted above a threshold and with a margin over the
+next. Where the next lies within the margin, the smaller edit distance decides; equal
+distances leave the value ambiguous, and it is reported with the candidates.
+
+The reference list is handled in blocks of at most ``block`` entries, each broadcast; the
+n-gram weights are those of the whole list, and a value's candidates of all blocks are
+judged together, so the result does not depend on the blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,7 @@ from ..session import width
 BLOCK = 20_000
 # Characters that scanning and typing confuse.
 _LOOKALIKE = str.maketrans("0158346", "OISBEAG")
-# Words that say nothing about the entry meant.
-_FILLERS = {"PER", "IN", "ONLY", "APPROX", "ABOUT", "NET", "NETT", "GROSSWT", "GR", "GRADE", "MOC", "MATL", "OR", "EQ", "EQUIV", "EQUIVALENT"}
+THRESHOLD, MARGIN = 0.31, 0.12
 
 
 def folded(s: str) -> str:
@@ -36,12 +38,19 @@ def folded(s: str) -> str:
 
 
 def grams(s: str) -> Counter:
-    """Character one-, two- and skip-two-grams of ``s`` between end marks."""
-    t = f"^{s}$"
-    out = Counter(t[i : i + 2] for i in range(len(t) - 1))
-    out.update(t[i : i + 3] for i in range(len(t) - 2))
-    out.update(t[i] + "~" + t[i + 2] for i in range(len(t) - 2))
-    out.update(s)
+    """Character n-grams of ``s`` between end marks, look-alike characters unified: pairs, triples and pairs with a gap, the same without order (for swapped neighbours), and single characters as typed."""
+    t = f"^{s.translate(_LOOKALIKE)}$"
+    out = Counter(s)
+    for i in range(len(t) - 1):
+        pair, triple = t[i : i + 2], t[i : i + 3]
+        out["=" + pair] += 1
+        out["/" + "".join(sorted(pair))] += 1
+        if len(triple) == 3:
+            out["=" + triple] += 1
+            out["/" + "".join(sorted(triple))] += 1
+            out["=" + triple[0] + "~" + triple[2]] += 1
+    for c in t[1:-1]:
+        out["=" + c] += 1
     return out
 
 
@@ -65,102 +74,126 @@ def edits(a: str, b: str, most: float) -> float:
     return row[-1]
 
 
+def gram_counts(entries: Iterable[str]) -> tuple[Counter, int]:
+    """Number of distinct folded entries that hold each n-gram, and of these entries."""
+    keys = {folded(e) for e in entries} - {""}
+    return Counter(g for k in keys for g in grams(k)), len(keys)
+
+
 class Index:
-    """Inverted n-gram index of one block of the reference list."""
+    """Inverted n-gram index of one block of the reference list. ``counts``: n-gram counts of the whole list, where it has several blocks."""
 
-    def __init__(self, entries: list[str]):
-        self.entries = sorted(set(entries))
+    def __init__(self, entries: Iterable[str], counts: tuple[Counter, int] | None = None):
         self.exact: dict[str, str] = {}
-        for e in self.entries:
-            self.exact.setdefault(folded(e), e)
-        keys = list(self.exact)
-        bags = [grams(k) for k in keys]
-        df = Counter(g for bag in bags for g in bag)
-        self.idf = {g: math.log(1 + len(keys) / n) for g, n in df.items()}
-        self.unseen = math.log(1 + len(keys))
+        for e in sorted(set(entries)):
+            if folded(e):
+                self.exact.setdefault(folded(e), e)
+        self.keys = list(self.exact)
+        df, n = counts or gram_counts(self.exact)
+        self.idf = {g: math.log(1 + n / k) for g, k in df.items()}
+        self.unseen = math.log(1 + n)
+        self.words = max((len(_WORDS.findall(e)) for e in self.exact.values()), default=0)
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.keys = keys
-        for i, bag in enumerate(bags):
-            norm = math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in bag.items()))
-            for g, n in bag.items():
-                self.postings[g].append((i, n * self.idf[g] / norm))
-
-    def cosines(self, key: str) -> list[tuple[float, str]]:
-        bag = grams(key)
-        norm = math.sqrt(sum((n * self.idf.get(g, self.unseen)) ** 2 for g, n in bag.items()))
-        scores: dict[int, float] = defaultdict(float)
-        if not norm:
-            return []
-        for g, n in bag.items():
-            w = n * self.idf.get(g, 0.0) / norm
-            for i, x in self.postings.get(g, ()):
-                scores[i] += w * x
-        return sorted(((s, self.keys[i]) for i, s in scores.items()), reverse=True)[:8]
+        for i, key in enumerate(self.keys):
+            for g, w in self._weights(key).items():
+                self.postings[g].append((i, w))
+
+    def _weights(self, key: str) -> dict[str, float]:
+        bag = {g: k * self.idf.get(g, self.unseen) for g, k in grams(key).items()}
+        norm = math.sqrt(sum(w * w for w in bag.values()))
+        return {g: w / norm for g, w in bag.items()} if norm else {}
 
-    def best(self, value: str, threshold: float, margin: float) -> tuple[str | None, float, float]:
-        """(entry or None, cosine, edits). Spans of the value's words are tried, whole value first, so that added words don't hide the entry."""
+    def candidates(self, value: str, threshold: float, margin: float) -> list[tuple[float, str]]:
+        """(score, entry) above the threshold and within the margin of this block's best, best first."""
         plain = unicodedata.normalize("NFKC", value).upper()
         whole = folded(plain)
         if not whole:
-            return None, 0.0, 9.0
+            return []
         if whole in self.exact:
-            return self.exact[whole], 1.0, 0.0
-        words = re.findall(r"[^\W_]+", plain)
-        kept = [w for w in words if w not in _FILLERS] or words
-        spans = {"".join(kept)} | {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words)} if len(words) <= 6 else {"".join(kept)}
-        exact = max((x for x in spans if x in self.exact and (len(x) > 2 or "".join(kept) == x)), key=len, default="")
-        found: list[tuple[float, float, str]] = []
-        for span in {"".join(kept), whole}:
-            most = 1.0 if len(span) < 6 else 2.0 if len(span) < 10 else 3.0  # edits that leave a value recognisable
-            near = self.cosines(span)
-            bar = max(threshold, near[0][0] - margin) if near else 1
-            for cosine, key in near:
-                if len(key) < 3:
-                    continue
-                d = edits(span, key, most)
-                if d <= most and (cosine >= threshold or d <= 1 or (cosine >= threshold - margin and len(key) > 6)):
-                    found.append((d, -cosine, key))
-                elif cosine >= max(0.75, bar) and d <= most + 1:
-                    found.append((d, -cosine, key))
-        d, c, key = min(found, default=(9.0, 0.0, ""))
-        if exact and len(key) <= len(exact):
-            return self.exact[exact], 0.99, 0.0
-        if not found:
-            return None, 0.0, 9.0
-        return self.exact[key], -c, d
-
-
-def map_values(values: DataFrame, value: str, entries: DataFrame, entry: str, threshold: float = 0.4, margin: float = 0.15, block: int = BLOCK) -> DataFrame:
-    """Distinct non-empty values with ``reference_entry``, its ``score`` and ``edits``; unmatched values have a null entry.
-
-    Null and blank values have no row; ties go to the smaller edit distance, then the higher cosine, then the first entry by name.
+            return [(1.0, self.exact[whole])]
+        scores: dict[str, float] = defaultdict(float)
+        for g, w in self._weights(whole).items():
+            for i, x in self.postings.get(g, ()):
+                scores[self.keys[i]] += w * x
+        words = _WORDS.findall(plain)
+        for n in range(1, min(self.words, len(words) - 1) + 1):
+            for i in range(len(words) - n + 1):
+                span = "".join(words[i : i + n])
+                if span in self.exact:
+                    scores[span] = max(scores[span], len(span) / len(whole), n / len(words))
+        best = max(scores.values(), default=0.0)
+        near = [(round(s, 9), self.exact[k]) for k, s in scores.items() if s >= threshold and s >= best - margin]
+        return sorted(near, key=lambda x: (-x[0], x[1]))
+
+
+_WORDS = re.compile(r"[^\W_]+")
+
+
+def decided(value: str, candidates: list[tuple[float, str]], margin: float) -> tuple[str | None, float, str]:
+    """(entry or None, score, how): ``exact``, ``margin``, ``edits``, ``ambiguous`` or ``unmatched``."""
+    if not candidates:
+        return None, 0.0, "unmatched"
+    ranked = sorted(candidates, key=lambda x: (-x[0], x[1]))
+    score, entry = ranked[0]
+    rivals = [e for s, e in ranked if s >= score - margin]
+    if len(rivals) == 1 or score >= 1.0:
+        return entry, score, "exact" if score >= 1.0 else "margin"
+    key = folded(value)
+    far = sorted((edits(key, folded(e), float(max(len(key), len(e)))), e) for e in rivals)
+    if far[0][0] == far[1][0]:
+        return None, score, "ambiguous"
+    return far[0][1], next(s for s, e in ranked if e == far[0][1]), "edits"
+
+
+def map_values(values: DataFrame, value: str, entries: DataFrame, entry: str, threshold: float = THRESHOLD, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+    """Distinct non-empty values with ``reference_entry``, its ``score`` and ``how`` it was decided; unmatched and ambiguous values have a null entry.
+
+    ``how``: ``exact`` (equal apart from case, blanks and punctuation), ``margin``, ``edits`` (within the
+    margin, by edit distance), ``ambiguous`` or ``unmatched``. Null and blank values have no row.
     """
     spark = values.sparkSession
     distinct = values.select(F.col(value).alias("value")).where(F.trim("value") != "").distinct().repartition(width(spark))  # few short values, costly to score
     listed = entries.select(F.col(entry).alias("e")).where("e is not null").distinct()
     blocks = max(1, math.ceil(listed.count() / block))
+    parts = [listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("e"), F.lit(blocks)) == k) for k in range(blocks)]
+    counts = None
+    if blocks > 1:  # one block at a time on the driver; the n-grams are far fewer than the entries
+        every, n = Counter(), 0
+        for part in parts:
+            found, k = gram_counts(r.e for r in part.collect())
+            every.update(found)
+            n += k
+        counts = every, n
     out = None
-    for k in range(blocks):
-        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("e"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([r.e for r in part.collect()]))
+    for part in parts:
+        index = spark.sparkContext.broadcast(Index([r.e for r in part.collect()], counts))
 
         def score(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [index.value.best(v, threshold, margin) for v in pdf["value"]]
-                yield pd.DataFrame({"value": pdf["value"], "reference_entry": [r[0] for r in rows], "score": [r[1] for r in rows], "edits": [r[2] for r in rows]})
+                found = [index.value.candidates(v, threshold, margin) for v in pdf["value"]]
+                yield pd.DataFrame({"value": pdf["value"], "candidates": [[{"score": s, "entry": e} for s, e in c] for c in found]})
 
-        scored = distinct.mapInPandas(score, "value string, reference_entry string, score double, edits double")
+        scored = distinct.mapInPandas(score, "value string, candidates array<struct<score:double,entry:string>>")
         out = scored if out is None else out.unionByName(scored)
-    if blocks == 1:
-        return out
-    order = F.struct(F.col("reference_entry").isNull(), "edits", -F.col("score"), "reference_entry")
-    return out.groupBy("value").agg(F.min_by(F.struct("reference_entry", "score", "edits"), order).alias("b")).select("value", "b.*")
+    if blocks > 1:
+        out = out.groupBy("value").agg(F.flatten(F.collect_list("candidates")).alias("candidates"))
+
+    @F.pandas_udf("reference_entry string, score double, how string")
+    def decide(v: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decided(x, [(k["score"], k["entry"]) for k in near], margin) for x, near in zip(v, c)], columns=["reference_entry", "score", "how"])
+
+    return out.withColumn("_d", decide("value", "candidates")).select("value", "_d.*", F.transform("candidates", lambda k: k["entry"]).alias("candidates"))
 
 
 def mapped_rows(rows: DataFrame, key: str, value: str, entries: DataFrame, entry: str) -> DataFrame:
-    """(``entry_id``, ``value``, ``reference_entry``) of every row whose value is neither null nor empty nor literally listed; ``-`` where none resembles it."""
+    """(``entry_id``, ``value``, ``reference_entry``, ``how``) of every row whose value is neither null nor empty nor literally listed; ``-`` where none resembles it or several do alike."""
     listed = entries.select(F.col(entry).alias("_e")).distinct()
     loose = rows.select(F.col(key).alias("entry_id"), F.col(value).alias("value")).where("value <> ''")
-    loose = loose.join(F.broadcast(listed.limit(BLOCK)), F.col("value") == F.col("_e"), "left_anti") if listed.count() <= BLOCK else loose.join(listed, F.col("value") == F.col("_e"), "left_anti")
-    mapped = map_values(loose, "value", entries, entry).select("value", "reference_entry")
-    return loose.join(mapped, "value", "left").select("entry_id", "value", F.coalesce("reference_entry", F.lit("-")).alias("reference_entry"))
+    loose = loose.join(listed, F.col("value") == F.col("_e"), "left_anti")
+    mapped = map_values(loose, "value", entries, entry).select("value", "reference_entry", "how")
+    return loose.join(mapped, "value", "left").select("entry_id", "value", F.coalesce("reference_entry", F.lit("-")).alias("reference_entry"), F.coalesce("how", F.lit("unmatched")).alias("how"))
+
+
+def unmatched_report(mapped: DataFrame) -> DataFrame:
+    """Values without an entry: ``value``, ``how`` (unmatched or ambiguous), ``rows``."""
+    return mapped.where("reference_entry = '-'").groupBy("value", "how").agg(F.count("*").alias("rows"))

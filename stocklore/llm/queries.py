@@ -30,20 +30,22 @@ def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
     return collapsed(_read(spark, sf, "material_description_corpus"), "corpus_id", "description", "tender_reference")
 
 
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     from .canonical_values import mapped_rows
 
     units = mapped_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "unit", _read(spark, sf, "unit_normalisation"), "surface_form")
     grades = _read(spark, sf, "material_attributes").where("attribute_name = 'grade'")
-    tokens = mapped_rows(grades, "attribute_id", "value", _read(spark, sf, "material_grades"), "grade_token")
-    return units.unionByName(tokens).select("entry_id", "reference_entry")
+    return units.unionByName(mapped_rows(grades, "attribute_id", "value", _read(spark, sf, "material_grades"), "grade_token"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf).select("entry_id", "reference_entry")
 
 
 def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    from .canonical_values import mapped_rows
+    from .canonical_values import unmatched_report
 
-    rows = mapped_rows(_read(spark, sf, "material_description_corpus"), "corpus_id", "unit", _read(spark, sf, "unit_normalisation"), "surface_form")
-    return rows.where("reference_entry = '-'").groupBy("value").agg(F.count("*").alias("rows"))
+    return unmatched_report(_mapped(spark, sf))
 
 
 def _garbled(spark: SparkSession, sf: str) -> DataFrame:

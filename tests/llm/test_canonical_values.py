@@ -1,16 +1,19 @@
 from pyspark.sql import functions as F
 
-from stocklore.llm.canonical_values import Index, edits, map_values, mapped_rows
+from stocklore.llm.canonical_values import MARGIN, THRESHOLD, Index, decided, edits, map_values, mapped_rows, unmatched_report
 
 UNITS = ["NOS", "EACH", "GRAM", "METRE", "MM", "M", "SQ.FT", "CUBIC METRE", "MILLIMETRE", "MILLILITRE", "ROLL", "YARD", "POUND"]
 
 
 def test_closest_entry():
     index = Index(UNITS)
+    best = lambda v: decided(v, index.candidates(v, THRESHOLD, MARGIN), MARGIN)
     for value, entry in {"n.o.s.": "NOS", " (metre) ": "METRE", "per POUND": "POUND", "5QFT": "SQ.FT", "RO1L": "ROLL", "cubc metre": "CUBIC METRE", "MILLIMETER": "MILLIMETRE", "YAED": "YARD", "gramm": "GRAM", "mm.": "MM"}.items():
-        assert index.best(value, 0.4, 0.15)[0] == entry, value
+        assert best(value)[0] == entry, value
     for value in ("TRUCKLOAD", "as per boq", "??????", "-", "unknown", "x" * 10_000):
-        assert index.best(value, 0.4, 0.15)[0] is None, value[:20]
+        assert best(value)[0] is None, value[:20]
+    assert best("roll / yard")[::2] == (None, "ambiguous") and best("nos.")[2] == "exact"
+    assert best("per M")[0] == "M" and best("M of any make")[0] is None
     assert edits("ABCD", "ACBD", 3) == 1 and edits("O1", "01", 3) == 0.5 and edits("abc", "xyzuvw", 2) == 3
 
 
@@ -24,3 +27,16 @@ def test_rows_and_blocks(spark):
     assert whole == blocks and whole["TRUCKLOAD"] is None
     assert mapped_rows(rows.limit(0), "id", "v", entries, "entry").count() == 0
     assert {r.reference_entry for r in mapped_rows(rows, "id", "v", entries.limit(0), "entry").collect()} == {"-"}
+    report = {(r.value, r.how): r.rows for r in unmatched_report(mapped_rows(rows, "id", "v", entries, "entry")).collect()}
+    assert report == {(" ", "unmatched"): 1, ("TRUCKLOAD", "unmatched"): 1}
+
+
+def test_blocks_score_as_the_whole_list(spark):
+    import random
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("ABCDEFGH1230", k=rnd.randrange(2, 9))) for _ in range(300)]
+    typed = [w[:k] + rnd.choice("ABX9") + w[k + 1 :] for w in words for k in (len(w) // 2,)] + [f"{w} only" for w in words[:50]]
+    entries, rows = spark.createDataFrame([(w,) for w in words], "entry string"), spark.createDataFrame([(t,) for t in typed], "v string")
+    plain = lambda df: sorted((r.value, r.reference_entry, r.how, round(r.score, 6)) for r in df.collect())
+    assert plain(map_values(rows, "v", entries, "entry")) == plain(map_values(rows, "v", entries, "entry", block=37))
