@@ -1,4 +1,4 @@
-"""Hash-chained event logs, signal graphs, crawl frontiers and leader clusters."""
+"""Signal graphs, crawl frontiers and leader clusters."""
 
 from __future__ import annotations
 
@@ -14,43 +14,6 @@ from ..session import width
 from .durable import durable, release
 
 
-def event_hash(*parts: Column) -> Column:
-    """SHA-256 over the JSON array of an event's parts; nulls count as empty."""
-    return F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256)
-
-
-def chained(events: DataFrame, log: str, order: str, payload: list[str]) -> DataFrame:
-    """Adds ``previous_hash`` and ``event_hash`` of a chain within each log.
-
-    A link commits to the event and to its predecessor's content hash, so that links are made
-    in parallel: the predecessor is one ``lag`` away, and any edit breaks the edited event's
-    own hash and its successor's link.
-    """
-    content = events.withColumn("_c", event_hash(F.col(log), F.col(order), *[F.col(p) for p in payload]))
-    linked = _with_previous(content, log, order)
-    return linked.withColumn("event_hash", event_hash(F.col("_c"), F.col("previous_hash"))).drop("_c")
-
-
-def _with_previous(content: DataFrame, log: str, order: str) -> DataFrame:
-    """Adds the content hash of the event before, within the log. A log is spread over range partitions, however long it is;
-    a partition's first event looks at the last one of the partition before (one row a partition is exchanged)."""
-    ranged = content.repartitionByRange(F.col(log), F.col(order)).withColumn("_part", F.spark_partition_id())
-    placed = durable(ranged)
-    inside = Window.partitionBy("_part").orderBy(log, order)
-    near = placed.withColumn("_log", F.lag(F.struct(F.col(log).alias("l"), F.col("_c").alias("c"))).over(inside))
-    last = placed.groupBy("_part").agg(F.max_by(F.struct(F.col(log).alias("l"), F.col("_c").alias("c")), F.struct(log, order)).alias("_last"))
-    before = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))
-    joined = near.join(F.broadcast(before), "_part").withColumn("_b", F.coalesce("_log", "_edge"))
-    return joined.withColumn("previous_hash", F.when(F.col("_b.l").eqNullSafe(F.col(log)) & F.col("_b").isNotNull(), F.col("_b.c")).otherwise("")).drop("_part", "_log", "_edge", "_b")
-
-
-def verified(events: DataFrame, log: str, order: str, payload: list[str]) -> DataFrame:
-    """One row a log: ``events``, ``broken`` links or hashes, ``valid``."""
-    again = chained(events.withColumnRenamed("previous_hash", "_p").withColumnRenamed("event_hash", "_e"), log, order, payload)
-    wrong = ~(F.col("_p").eqNullSafe(F.col("previous_hash")) & F.col("_e").eqNullSafe(F.col("event_hash")))
-    return again.groupBy(log).agg(F.count("*").alias("events"), F.count_if(wrong).alias("broken")).withColumn("valid", F.col("broken") == 0)
-
-
 def signal_graph(signals: DataFrame, source: str, target: str, value: str, unit: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges): a vertex for every distinct end, an edge for every signal with a value."""
     ends = signals.select(F.explode(F.array(F.struct(F.col(source).cast("string").alias("id"), F.lit(source).alias("kind")), F.struct(F.col(target).cast("string").alias("id"), F.lit(target).alias("kind")))).alias("v"))

@@ -54,8 +54,9 @@ def flagged(rows: DataFrame, units: DataFrame, key: str = "corpus_id") -> DataFr
     by_title = base.where("_tender is not null").groupBy("_tender", "_fold").agg(F.count("*").alias("_titles")).where("_titles > 1")
     forms = units.select(F.lower(F.trim("surface_form")).alias("_unit")).where("_unit <> ''").distinct().withColumn("_known", F.lit(True))
     unit = F.lower(first_filled(*_columns(rows, "unit", "uom")))
+    any_form = forms.agg((F.count("*") > 0).alias("_any_form"))  # one row
     joined = (
-        base.withColumn("_unit", unit).join(by_text, "_fold", "left").join(by_title, ["_tender", "_fold"], "left").join(forms, "_unit", "left")
+        base.crossJoin(F.broadcast(any_form)).withColumn("_unit", unit).join(by_text, "_fold", "left").join(by_title, ["_tender", "_fold"], "left").join(forms, "_unit", "left")
     )
     quantity, taxonomy = first_filled(F.col("quantity")), first_filled(*_columns(rows, "unspsc_code", "taxonomy_code"))
     number = finite_number(quantity)
@@ -67,7 +68,7 @@ def flagged(rows: DataFrame, units: DataFrame, key: str = "corpus_id") -> DataFr
         F.when(first_filled(*_columns(rows, "source_system", "source", "source_table")) == "", "missing_source_system"),
         F.when((quantity != "") & (number.isNull() | (number < 0)), "invalid_quantity"),
         F.when(F.length("_text") > MAX_LENGTH, "malformed_specification"),
-        F.when((F.col("_unit") != "") & F.col("_known").isNull(), "invalid_unit"),
+        F.when((F.col("_unit") != "") & F.col("_any_form") & F.col("_known").isNull(), "invalid_unit"),
         F.when((taxonomy != "") & ~taxonomy.rlike(r"^\d{8}$"), "invalid_taxonomy_code"),
         F.when(F.col("_same") > 1, F.when(F.col("_o1") != F.col("_o2"), "cross_organization_duplicate").otherwise("duplicate_description")),
         F.when(F.col("_titles") > 1, "repeated_tender_title"),

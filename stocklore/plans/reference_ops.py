@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attributes as att
-from ..operators import canonical_codes, corpus, documents_extract, evaluation, identity, lineage, matching, normalize, quality, retrieval, weak_labels
+from ..operators import audit, canonical_codes, corpus, documents_extract, evaluation, identity, lineage, matching, normalize, quality, retrieval, weak_labels
 from ..session import spread
 from ..streaming import feeds
 from .registry import query, read
@@ -404,10 +404,34 @@ def tender_links(spark: SparkSession, sf: str) -> DataFrame:
     return documents_extract.tender_links(read(spark, sf, CORPUS).select(F.array("source_url").alias("links")))
 
 
-@query("SELECT user_id, count(*) AS events, CAST(0 AS BIGINT) AS broken, true AS valid FROM events GROUP BY user_id")
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as audit events, one log a user, in the order of their ids."""
+    rows = read(spark, sf, "events").where("user_id is not null")
+    details = F.create_map(F.lit("input"), F.col("props"), F.lit("output"), F.col("value").cast("string"))
+    given = rows.select("user_id", F.col("event_id").alias("seq"), F.lit("user").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), "event_type", F.lit("feed").alias("actor"), details.alias("details"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    return audit.appended(given, "user_id", "seq")
+
+
+# Of the logs with user_id % 5 = 0 every event whose id is divisible by 3 gets another actor afterwards; of those with 1 all such events are dropped;
+# of those with 2 such an event gets another actor and a new hash and id, so that the link after it breaks. What must then fail is counted from the table alone.
+@query(
+    """WITH e AS (SELECT user_id, event_id, user_id % 5 AS m, event_id % 3 = 0 AS hit, lag(event_id % 3 = 0) OVER (PARTITION BY user_id ORDER BY event_id) AS hit_before FROM events WHERE user_id IS NOT NULL),
+b AS (SELECT *, CASE WHEN m = 0 THEN hit WHEN m = 1 THEN coalesce(hit_before, false) WHEN m = 2 THEN coalesce(hit_before, false) ELSE false END AS bad FROM e WHERE NOT (m = 1 AND hit))
+SELECT user_id, count(*) AS events, count(*) FILTER (bad) AS broken, min(event_id) FILTER (bad) AS first_broken, count(*) FILTER (bad) = 0 AS valid FROM b GROUP BY user_id"""
+)
 def chain_verified(spark: SparkSession, sf: str) -> DataFrame:
-    payload = ["ts", "event_type", "value", "props"]
-    return lineage.verified(lineage.chained(read(spark, sf, "events"), "user_id", "event_id", payload), "user_id", "event_id", payload)
+    kind, hit = F.pmod("user_id", F.lit(5)), F.pmod("seq", F.lit(3)) == 0
+    edited = _log(spark, sf).where(~((kind == 1) & hit)).withColumn("actor", F.when(hit & kind.isin(0, 2), "other").otherwise(F.col("actor")))
+    again = edited.withColumn("_h", audit.rehashed(edited))
+    redone = again.withColumn("event_hash", F.when(hit & (kind == 2), F.col("_h")).otherwise(F.col("event_hash")))
+    redone = redone.withColumn("event_id", F.when(hit & (kind == 2), F.concat(F.lit(audit.EVENT_ID), F.substring("_h", 1, audit.ID_DIGITS))).otherwise(F.col("event_id")))
+    return audit.verified(redone.drop("_h"), "user_id", "seq")
+
+
+@query("SELECT event_id AS seq, user_id, event_type FROM events WHERE user_id % 100 = 7")
+def audit_by_entity(spark: SparkSession, sf: str) -> DataFrame:
+    chain = _log(spark, sf).where("cast(entity_id as bigint) % 100 = 7")
+    return audit.history(chain, "seq", "user").select("seq", "user_id", "event_type")
 
 
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS source, CAST(l_partkey AS VARCHAR) AS target, count(*) AS signals, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1, 2")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocklore.operators import attributes as att
-from stocklore.operators import canonical_codes, corpus, documents_extract, evaluation, identity, lineage, matching, normalize, quality, retrieval, weak_labels
+from stocklore.operators import audit, canonical_codes, corpus, documents_extract, evaluation, identity, lineage, matching, normalize, quality, retrieval, weak_labels
 
 
 def texts(spark, *rows):
@@ -171,15 +171,79 @@ def test_html(spark):
     assert [r.b for r in sizes] == [1.5 * 1024**2, 20 * 1024.0, None]
 
 
-def test_chain_detects_an_edit(spark):
-    events = spark.createDataFrame([("l", i, f"actor{i}") for i in range(6)] + [("m", 1, None)], "log string, seq long, actor string")
-    chain = lineage.chained(events, "log", "seq", ["actor"])
-    assert all(r.valid for r in lineage.verified(chain, "log", "seq", ["actor"]).collect())
-    edited = chain.withColumn("actor", F.when((F.col("log") == "l") & (F.col("seq") == 2), "mallory").otherwise(F.col("actor")))
-    got = {r.log: r for r in lineage.verified(edited, "log", "seq", ["actor"]).collect()}
-    assert not got["l"].valid and got["l"].broken == 2 and got["m"].valid
-    dropped = chain.where("seq <> 3")
-    assert not lineage.verified(dropped, "log", "seq", ["actor"]).where("log = 'l'").first().valid
+def _events(spark, rows):
+    return spark.createDataFrame([(log, i, "material", f"M{i % 2}", "review", a, d, "2024-01-01T00:00:00+00:00") for log, i, a, d in rows], "log string, seq long, entity_type string, entity_id string, event_type string, actor string, details map<string,string>, timestamp string").withColumn("event_hash", F.lit("clash"))
+
+
+def test_chain_by_hand_and_by_edit(spark):
+    rows = [("l", i, f"actör{i}", {"input": "x", "b": None} if i == 3 else None) for i in range(6)] + [("m", 1, None, {})]
+    chain = audit.appended(_events(spark, rows), "log", "seq").cache()
+    last = ""
+    dump = lambda v: hashlib.sha256(json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    for r in chain.where("log = 'l'").orderBy("seq").collect():
+        d = r.details or {}
+        last_was, last = last, dump({"entity_type": "material", "entity_id": r.entity_id, "event_type": "review", "actor": r.actor, "details": d, "timestamp": r.timestamp, "input_hash": dump(d.get("input")), "output_hash": dump(None), "model_version": "", "previous_event_hash": last})
+        assert (r.previous_event_hash, r.event_hash, r.event_id) == (last_was, last, "evt_" + last[:24])
+    assert all(r.valid for r in audit.verified(chain, "log", "seq").collect())
+    hit = (F.col("log") == "l") & (F.col("seq") == 2)
+    edited = chain.withColumn("actor", F.when(hit, "mallory").otherwise(F.col("actor")))
+    got = {r.log: r for r in audit.verified(edited, "log", "seq").collect()}
+    assert not got["l"].valid and (got["l"].broken, got["l"].first_broken) == (1, 2) and got["m"].valid
+    redone = edited.withColumn("_again", audit.rehashed(edited)).withColumn("event_hash", F.when(hit, F.col("_again")).otherwise(F.col("event_hash"))).withColumn("event_id", F.when(hit, F.concat(F.lit("evt_"), F.substring("_again", 1, 24))).otherwise(F.col("event_id")))
+    assert audit.verified(redone, "log", "seq").where("log = 'l'").first().first_broken == 3
+    assert not audit.verified(chain.where("seq <> 3"), "log", "seq").where("log = 'l'").first().valid
+    swapped = chain.withColumn("seq", F.when(F.col("seq") == 4, 5).when(F.col("seq") == 5, 4).otherwise(F.col("seq")))
+    assert not audit.verified(swapped, "log", "seq").where("log = 'l'").first().valid
+    assert [r.seq for r in audit.history(chain.where("log = 'l'"), "seq", "material", "M1").collect()] == [1, 3, 5]
+    more = audit.appended(_events(spark, [("l", 7, "z", None), ("n", 1, "z", None)]), "log", "seq", audit.heads(chain, "log", "seq"))
+    assert all(r.valid for r in audit.verified(chain.unionByName(more), "log", "seq").collect())
+    assert audit.verified(audit.appended(_events(spark, []), "log", "seq"), "log", "seq").count() == 0
+
+
+def test_fused_ranks_are_those_of_the_whole_lists(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 9))), rng.choice(["Pump", "valve", None])) for i in range(400)]
+    asked = [("a", "w1 w2 w2 w3", None), ("b", "w4 w9", "pump"), ("c", "", "valve"), ("d", None, None), ("e", "zzz", "VALVE")]
+    left, right = spark.createDataFrame(asked, "q string, t string, f string"), spark.createDataFrame(docs, "id int, t string, f string")
+    k = 5
+    monkeypatch.setattr(retrieval, "RRF_K", 3)  # a short reach, so that the cut matters
+    got = {}
+    for r in retrieval.hybrid(left, right, "q", "t", "id", "t", k, "f", "f").collect():
+        got.setdefault(r.query, []).append((r["rank"], r.doc, round(r.lexical_score, 6), round(r.fusion, 9)))
+    lex = {(r.query, r.doc): round(r.lexical, 9) for r in retrieval.bm25(left, right, "q", "t", "id", "t").collect()}
+    vec = {r.id: r.v for r in right.select("id", retrieval.hash_embedding(F.col("t")).alias("v")).collect()}
+    for q, t, f in asked:
+        if not t:
+            assert q not in got
+            continue
+        own = left.where(F.col("q") == q).select(retrieval.hash_embedding(F.col("t")).alias("v")).first().v
+        let = [i for i, _, g in docs if f is None or g is None or f.lower() == g.lower()]
+        dense = {i: round(sum(x * y for x, y in zip(own, vec[i])), 9) for i in let}
+        lists = [sorted((i for i in let if lex.get((q, i), 0) > 0), key=lambda i: (-lex[q, i], i)), sorted(let, key=lambda i: (-dense[i], i))]
+        fused = {}
+        for ranked in lists:
+            for n, i in enumerate(ranked, 1):
+                fused[i] = fused.get(i, 0) + 1 / (3 + n)
+        top = max((lex[q, i] for i in lists[0]), default=1)
+        want = [(n, i, round(lex.get((q, i), 0) / top, 6), round(s, 9)) for n, (s, i) in enumerate(sorted(((round(s, 12), i) for i, s in fused.items()), key=lambda x: (-x[0], x[1]))[:k], 1)]
+        assert sorted(got[q]) == want, q
+
+
+def test_query_blocks_of_any_number(spark, monkeypatch):
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(4)] if i % 9 else None) for i in range(120)], "id int, v array<double>")
+    asked = vectors.select(F.concat(F.lit("q"), F.col("id")).alias("k"), F.col("v").alias("x")).where("id < 40")
+    whole = retrieval.dense_best(vectors, "id", "v", asked, 3, "k", "x").collect()
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 7)
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, retrieval.dense_best(vectors, "id", "v", asked, 3, "k", "x").collect())) and len(whole) == 3 * 35
+
+
+def test_every_unit_is_known_where_none_is_listed(spark):
+    schema = "corpus_id string, organization string, source_system string, tender_id string, description string, description_kind string, quantity string, unit string, document_url string, source_url string"
+    rows = spark.createDataFrame([("a", "o", "s", "t", "pipe", "k", "1", "zz", "u", "u")], schema)
+    assert quality.flagged(rows, spark.createDataFrame([], "surface_form string")).first().checks == []
+    assert quality.flagged(rows, spark.createDataFrame([("NOS",)], "surface_form string")).first().checks == ["invalid_unit"]
 
 
 def test_graph_frontier_clusters(spark):
