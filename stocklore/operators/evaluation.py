@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +123,14 @@ class Calibrator:
         if self.method == "platt":
             z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), score * p["slope"] + p["intercept"]))
             return 1.0 / (1.0 + F.exp(-z))
-        xs, ys = p["boundaries"], p["predictions"]
-        out = F.when(score >= xs[-1], ys[-1])
-        for i in range(len(xs) - 1, 0, -1):
-            width = xs[i] - xs[i - 1]
-            out = out.when(score >= xs[i - 1], ys[i - 1] + (score - xs[i - 1]) * ((ys[i] - ys[i - 1]) / width if width else 0.0))
-        return out.when(score.isNotNull(), ys[0])
+        xs, ys = np.array(p["boundaries"]), np.array(p["predictions"])
+
+        @F.pandas_udf("double")
+        def between(s: pd.Series) -> pd.Series:
+            """The step is found by binary search, so the plan doesn't grow with the number of steps."""
+            return pd.Series(np.interp(s.to_numpy(float), xs, ys)).where(s.notna().to_numpy())
+
+        return between(score.cast("double"))
 
     def dumps(self) -> str:
         """JSON with a 16-digit checksum of the parameters as its version."""
@@ -141,3 +145,41 @@ class Calibrator:
         if json.loads(out.dumps())["version"] != found.get("version"):
             raise ValueError("the calibration was altered")
         return out
+
+
+# Fixed value: the origin of labels that may judge or calibrate a score.
+GOLD = "expert_gold"
+
+
+def gold_only(rows: DataFrame, origin: str = "label_source") -> DataFrame:
+    """``rows``, if every one is an expert's label; weak, unlabelled and null origins raise ValueError."""
+    if not rows.where(~F.col(origin).eqNullSafe(F.lit(GOLD))).isEmpty():
+        raise ValueError(f"{origin} must be {GOLD} on every row")
+    return rows
+
+
+def _filled(rows: DataFrame, column: str) -> None:
+    if column not in rows.columns or not rows.where(F.coalesce(F.trim(F.col(column).cast("string")), F.lit("")) == "").isEmpty():
+        raise ValueError(f"{column} must be filled on every row")
+
+
+def evaluated(rows: DataFrame, label: str, score: str, group: str, threshold: float = 0.5, origin: str = "label_source", test_share: float = 0.2) -> DataFrame:
+    """Metrics of the test partition of expert labels, split by whole groups: the figures of ``classification``, ``training_rows``, ``test_rows``.
+
+    Other labels, blank groups and splits with an empty side raise ValueError.
+    """
+    _filled(rows, group)
+    split = group_split(gold_only(rows, origin), group, test_share)
+    sizes = {r.partition: r["count"] for r in split.groupBy("partition").count().collect()}
+    if len(sizes) < 2:
+        raise ValueError("the split leaves a side empty")
+    found = classification(split.where("partition = 'test'"), label, score, threshold)
+    return found.withColumn("training_rows", F.lit(sizes["train"])).withColumn("test_rows", F.lit(sizes["test"]))
+
+
+def calibrated(rows: DataFrame, label: str, score: str, method: str = "platt", group: str = "validation_group", origin: str = "label_source") -> Calibrator:
+    """A calibration fitted on expert labels of at least two validation groups; anything else raises ValueError."""
+    _filled(rows, group)
+    if gold_only(rows, origin).select(group).distinct().limit(2).count() < 2:
+        raise ValueError("calibration needs several independent validation groups")
+    return Calibrator.fit(rows, label, score, method)

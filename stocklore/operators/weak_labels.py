@@ -9,7 +9,8 @@ from ..functions.text import folded
 from .attributes import values_of
 from .durable import durable, release
 from .identity import pair_id
-from .matching import IDENTITY, compatibility
+from .matching import IDENTITY, compatibility, value_map
+from .numbering import numbered
 
 # Confidence of the two kinds of labels, and neighbours per record and value.
 EXACT_CONFIDENCE, CONFLICT_CONFIDENCE = 0.9, 0.65
@@ -58,13 +59,14 @@ def _conflicts(records: DataFrame, key: str, neighbours: int) -> DataFrame:
     values = durable(held.select("kind", "id", "family", "anchor", F.size("vs").alias("n"), F.explode("vs").alias("v")))
     # a record with no other value stands for a value where there is one, as it conflicts with all others
     heads = values.groupBy("family", "anchor", "v").agg(F.min(F.struct("n", "id", "kind")).alias("h"))
-    group = Window.partitionBy("family", "anchor")
-    placed = durable(heads.withColumn("at", F.row_number().over(group.orderBy("v")) - 1).join(heads.groupBy("family", "anchor").agg(F.count("*").alias("total")), ["family", "anchor"]).where("total > 1"))
+    sizes = heads.groupBy("family", "anchor").agg(F.count("*").alias("total")).where("total > 1")
+    placed = numbered(heads, ["v"], "at", ("family", "anchor")).withColumn("at", F.col("at") - 1).join(sizes, ["family", "anchor"])
+    placed = durable(placed)
     step = F.explode(F.sequence(F.lit(1), F.least(F.lit(neighbours), F.col("total") - 1).cast("int")))
     ahead = placed.withColumn("_step", step).select("family", "anchor", "v", ((F.col("at") + F.col("_step")) % F.col("total")).alias("at"))
     following = ahead.join(placed.select("family", "anchor", "at", F.col("h.kind").alias("other")), ["family", "anchor", "at"])
     meets = values.join(following, ["family", "anchor", "v"]).where("kind <> other").select("kind", "other").distinct()
-    side = lambda k, s: kinds.select(F.col("kind").alias(k), F.col("family").alias(f"family_{s}"), F.col("said").alias(f"said_{s}"), F.col("id").alias(f"first_{s}"))
+    side = lambda k, s: kinds.select(F.col("kind").alias(k), F.col("family").alias(f"family_{s}"), value_map("said").alias(f"said_{s}"), F.col("id").alias(f"first_{s}"))
     judged = meets.join(side("kind", "a"), "kind").join(side("other", "b"), "other").withColumn("c", compatibility("said_a", "said_b", "family_a", "family_b"))
     hard = durable(judged.where("c.class = 'HARD_CONFLICT'").select("kind", "other", "first_a", F.col("first_b").alias("b"), F.array_join("c.conflicts", ",").alias("reasons")))
     # the first of a kind stands for it: where two kinds meet both ways, their firsts would pair twice
@@ -90,10 +92,11 @@ def conflict_labels(records: DataFrame, key: str = "corpus_id", neighbours: int
 
 
 def weak_labels(records: DataFrame, key: str = "corpus_id") -> DataFrame:
-    """Both kinds; where a pair has both, EXACT stands."""
-    exact = exact_labels(records, key).withColumn("reasons", F.lit("exact_text,cross_organization"))
+    """Both kinds; where a pair has both, EXACT stands. What extraction made of the records is written once."""
+    held = durable(records.select(key, "description", "organization", "family", F.transform("attributes", lambda a: F.struct(a["name"].alias("name"), a["text"].alias("text"), a["unit"].alias("unit"))).alias("attributes")))
+    exact = exact_labels(held, key).withColumn("reasons", F.lit("exact_text,cross_organization"))
     known = exact.select(F.col("material_a").alias("a"), F.col("material_b").alias("b"))
-    return exact.unionByName(_not_equivalent(_conflicts(records, key, NEIGHBOURS).join(known, ["a", "b"], "left_anti")))
+    return exact.unionByName(_not_equivalent(_conflicts(held, key, NEIGHBOURS).join(known, ["a", "b"], "left_anti")))
 
 
 def hard_negatives(labels: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def first_rows(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.first_of_each(read(spark, sf, CORPUS), keys, "corpus_id").select(*keys, "corpus_id")
 
 
-@query("SELECT corpus_id, printf('M%08d', row_number() OVER (ORDER BY organization NULLS FIRST, description_kind NULLS FIRST, description NULLS FIRST, corpus_id)) AS surrogate_id FROM material_description_corpus")
+@query("SELECT corpus_id, printf('M%06d', row_number() OVER (ORDER BY organization NULLS FIRST, description_kind NULLS FIRST, description NULLS FIRST, corpus_id)) AS surrogate_id FROM material_description_corpus")
 def surrogate_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, CORPUS).select("corpus_id", "organization", "description_kind", "description")
     return corpus.surrogate_ids(rows, "organization", "description_kind", "description", "corpus_id").select("corpus_id", "surrogate_id")
@@ -275,8 +275,9 @@ def pair_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
-    records = att.with_attributes(read(spark, sf, CORPUS).select("corpus_id", "description"))
-    return matching.scored_pairs(_event_pairs(spark, sf), records)
+    pairs = _event_pairs(spark, sf)
+    records = att.with_attributes(matching.members_of(pairs, read(spark, sf, CORPUS).select("corpus_id", "description")))
+    return matching.scored_pairs(pairs, records)
 
 
 @query()
@@ -358,9 +359,9 @@ def calibration_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def calibrated_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _judged(spark, sf)
-    fitted = {m: evaluation.Calibrator.fit(rows, "label", "score", m) for m in ("platt", "isotonic")}
-    return rows.select("attribute_id", "score", *[F.round(c.apply(F.col("score")), 6).alias(m) for m, c in fitted.items()])
+    rows = evaluation.group_split(_judged(spark, sf).join(read(spark, sf, ATTRS).select("attribute_id", "material_id"), "attribute_id"), "material_id", 0.5)
+    fitted = {m: evaluation.Calibrator.fit(rows.where("partition = 'train'"), "label", "score", m) for m in ("platt", "isotonic")}
+    return rows.where("partition = 'test'").select("attribute_id", "score", *[F.round(c.apply(F.col("score")), 6).alias(m) for m, c in fitted.items()])
 
 
 _LINES = r"l AS (SELECT doc_id, i AS line_no, regexp_replace(string_split_regex(text, '\r\n|\r|\n')[i], '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g') AS line FROM documents, unnest(range(1, len(string_split_regex(text, '\r\n|\r|\n')) + 1)) AS x(i) WHERE text IS NOT NULL)"
