@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .records import item_text
+
 # Nouns of materials, quantity words, standards, tax codes, labelled lines and unit cells.
 MATERIAL_NOUN = r"(?i)\b(?:valve|pump|pipe|flange|bearing|gasket|compressor|motor|cable|transmitter|gauge|sensor|switchgear|transformer|panel|fitting|instrument|tank|filter|coupling)\b"
 QUANTITY = r"(?i)\b(\d+(?:,\d{3})*(?:\.\d+)?)\s*(nos?\.?|sets?|kg|kgs|mt|tonne|mtr|meter|metre|km|litre|ltr|ea|each|pair|pairs|rolls?|spools?)\b"
 STANDARD = r"(?i)\b(?:IS|IEC|BIS|ASTM|API|ANSI|ASME)\s*[-\s]?\d+[A-Za-z0-9/.-]*"
 TAX_CODE = r"(?i)\b(?:HSN|SAC)\s*[:#-]?\s*(\d{4,8})\b"
 VOLTAGE = r"(?i)(\d+(?:\.\d+)?)\s*(?:kV|kilo[- ]?volt)"
-LABELS = ("item description", "description of item", "material description", "name of work", "subject", "scope of supply", "item")
 UNIT_CELL = r"(?i)^(?:nos?\.?|sets?|each|ea|kg|kgs|mt|m|mtr|metre|meter|lot|ltr|litre|pair|job)$"
 NUMBER_CELL = r"^[\d,]+(?:\.\d+)?$"
 ITEMS_PER_DOCUMENT = 25
@@ -53,11 +54,56 @@ def specifications(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.transform(every(VOLTAGE, 1, 5), lambda v: v.cast("double")).alias("voltage_kv"), every(STANDARD, 0, 10).alias("standards"), every(TAX_CODE, 1, 10).alias("hsn_codes"))
 
 
-def labelled_lines(docs: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """Values of lines of the form ``label: value``: ``line_no``, ``label``, ``value``; the first label that fits counts."""
-    pattern = r"(?i)^(?:\d+[.)]\s*)?(" + "|".join(labels) + r")\s*[:=-]\s*(\S.*)$"
-    hit = lines_of(docs, key, text).where(F.col("line").rlike(pattern))
-    return hit.select(key, "line_no", F.lower(F.regexp_extract("line", pattern, 1)).alias("label"), F.regexp_extract("line", pattern, 2).alias("value"))
+# Labels of item lines with what may follow them, in order of search; those marked must name a material.
+ITEM_LABELS = (
+    ("item_category", r"(?i)Item Category\s*/?\s*Item Category\s*:?\s*(.{5,400})", True),
+    ("gem_search_string", r"(?i)(?:Searched Strings? used in GeMARPTS|GeMARPTS\s*Searched Strings?)\s*:?\s*(.{5,400})", False),
+    ("gem_search_result", r"(?i)(?:Searched Result generated in GeMARPTS|GeMARPTS\s*Searched Result)\s*:?\s*(.{5,400})", True),
+    ("gem_category", r"(?i)(?:Relevant Categories selected for notification|GeMARPTS\s*Relevant Categories)\s*:?\s*(.{3,300})", True),
+    ("primary_product_category", r"(?i)Primary product category\s*/?\s*Primary product category\s*:?\s*(.{5,400})", True),
+    ("brief_description", r"(?i)Brief NIT Description\s*:?\s*(.{5,400})", False),
+    ("tender_title", r"(?i)Tender Title\s*:?\s*(.{5,400})", False),
+)
+# A numbered line of a schedule, a comma-separated specification, nouns of materials, a size.
+SCHEDULE = r"^\s*(?:Schedule|Item|BoQ|BOQ|Sl\.?\s*No\.?)\s*[-:]?\s*(\d{1,3})\s*[|\t]\s*(.{4,200}?)\s*[|\t]\s*([\d,]+(?:\.\d+)?)\s*(?:[|\t]\s*([A-Za-z]{2,12})\s*)?$"
+SPECIFICATION = r"\b[A-Z0-9/]{2,}\s*(?:,\s*[A-Z0-9/.-]{1,20}\s*){3,}"
+ITEM_NOUN = (
+    r"(?i)\b(?:valve|pump|pipe|flange|bearing|gasket|compressor|motor|cable|gauge|sensor|transmitter|thermocouple|bolt|fitting|elbow|tee|reducer|strainer|filter|exchanger|boiler|turbine|blower|fan|vessel|tank|drum|column|"
+    r"reactor|actuator|orifice|meter|analyser|analyzer|switchgear|breaker|relay|battery|transformer|conveyor|belt|insulator|arrester|coupling|gearbox|impeller|seal|stud|nut|washer|electrode|refractory|heater|ejector|"
+    r"separator|chimney|crane|hoist|generator|panel|starter|contactor)\b"
+)
+SIZE = r"\b\d{1,4}\s*(?:mm|MM|inch|INCH|\"|kv|KV|MW|kg|KG|mt|MT|bar|BAR|HP|hp|TPD|TPH)\b"
+SENTENCE_LENGTHS = (19, 299)
+VALUE_LENGTHS = (4, 500)
+
+
+def item_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Every reading of every line: ``line_no``, ``pattern``, ``item_text``, ``quantity``, ``unit``; a document's first reading of a text under a pattern stays.
+
+    Patterns are the labels of ``ITEM_LABELS``, ``boq_schedule_line``, ``spec_string`` and ``spec_sentence`` (a
+    material and a size in a line of moderate length). All readings of a line come from one pass of expressions.
+    """
+    lines = docs.select(F.col(key), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("_i", "_l")).select(key, (F.col("_i") + 1).alias("line_no"), item_text(F.col("_l")).alias("line")).where("line <> ''")
+    line, none = F.col("line"), F.lit("")
+    reading = lambda name, value, quantity=none, unit=none: F.struct(F.lit(name).alias("pattern"), item_text(value).alias("item_text"), quantity.alias("quantity"), unit.alias("unit"))
+    found = []
+    for name, pattern, gated in ITEM_LABELS:
+        value = F.regexp_extract(line, pattern, 1)
+        found.append(F.when((value != "") & (value.rlike(ITEM_NOUN) if gated else F.lit(True)), reading(name, value)))
+    part = lambda g: F.regexp_extract(line, SCHEDULE, g)
+    found.append(F.when(part(2) != "", reading("boq_schedule_line", part(2), part(3), part(4))))
+    found.append(F.when(line.rlike(ITEM_NOUN) & line.rlike(SIZE) & F.length(line).between(*SENTENCE_LENGTHS), reading("spec_sentence", line)))
+    specs = F.transform(F.filter(F.regexp_extract_all(line, F.lit(SPECIFICATION), F.lit(0)), lambda x: x.rlike(ITEM_NOUN)), lambda x: reading("spec_string", x))
+    every = lines.select(key, "line_no", F.explode(F.concat(F.array_compact(F.array(*found)), specs)).alias("r")).select(key, "line_no", "r.*")
+    sized = every.where(F.length("item_text").between(*VALUE_LENGTHS))
+    first = sized.groupBy(key, "pattern", F.lower("item_text").alias("_low")).agg(F.min(F.struct("line_no", "item_text", "quantity", "unit")).alias("r"))
+    return first.select(key, "pattern", "r.*")
+
+
+def labelled_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Values behind the labels of ``ITEM_LABELS``: ``line_no``, ``label``, ``value``."""
+    names = [name for name, *_ in ITEM_LABELS]
+    return item_lines(docs, key, text).where(F.col("pattern").isin(*names)).select(key, "line_no", F.col("pattern").alias("label"), F.col("item_text").alias("value"))
 
 
 def schedule_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -153,6 +199,15 @@ def pages(docs: DataFrame, key: str, html: str, base_url: str | None = None) ->
     return docs.select(F.col(key).alias("_k"), F.col(html).alias("_h"), address.alias("_b")).mapInPandas(run, f"{key} {key_type}, text string, links array<string>, tables array<array<array<string>>>")
 
 
+def page_table_rows(parsed: DataFrame, key: str, headers: tuple[str, ...]) -> DataFrame:
+    """Rows of those tables of ``pages`` whose first row names all of ``headers`` (apart from case): ``table_no``, ``row_no``, and ``values`` as a MAP from header to cell. Rows of another width are left out."""
+    tables = parsed.select(key, F.posexplode("tables").alias("table_no", "t")).where(F.size("t") > 1)
+    head = F.transform(F.col("t")[0], lambda c: F.lower(F.trim(c)))
+    named = tables.withColumn("_h", head).where(F.size(F.array_except(F.array(*[F.lit(h.lower()) for h in headers]), "_h")) == 0)
+    rows = named.select(key, "table_no", "_h", F.posexplode(F.slice("t", 2, F.size("t"))).alias("row_no", "_r")).where(F.size("_r") == F.size("_h"))
+    return rows.select(key, "table_no", "row_no", F.map_from_arrays("_h", "_r").alias("values"))
+
+
 def tender_links(links: DataFrame, column: str = "links") -> DataFrame:
     """Sorted distinct links that have to do with tenders, bids or downloads."""
     one = links.select(F.explode(column).alias("link")).distinct()

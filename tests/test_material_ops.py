@@ -150,15 +150,18 @@ def test_quality_on_empty_and_odd_rows(spark):
 
 
 def test_documents(spark):
-    text = "MATERIALS\n1. 11 kV Transformer, IS 2026, HSN 8504 - 2 Nos\nGate valve 50 mm qty 1,200 nos\nshort pump\nSubject: supply of pumps\n3 Hex bolt long - 40 nos\nBolt M12 | nos | 40 | 1,200.50"
+    text = "Tender Title: supply of pumps\nMATERIALS\n1. 11 kV Transformer, IS 2026, HSN 8504 - 2 Nos\nGate valve 50 mm qty 1,200 nos\nshort pump\nCABLE,PWR,240MM2,1C,AL,X1\nBOQ 3 | Hex bolt long | 1,040 | nos\nItem Category / Item Category : enlistment of vendors\n3 Hex bolt long - 40 nos\nBolt M12 | nos | 40 | 1,200.50"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
     items = documents_extract.line_items(docs, "id", "t").orderBy("line_no").collect()
-    assert [(r.line_no, r.quantity, r.hsn_code) for r in items] == [(2, 2.0, "8504"), (3, 1200.0, "")]
+    assert [(r.line_no, r.quantity, r.hsn_code) for r in items] == [(3, 2.0, "8504"), (4, 1200.0, "")]
     assert documents_extract.grounded(documents_extract.line_items(docs, "id", "t"), docs, "id", "t").count() == 2
     assert documents_extract.specifications(docs, "id", "t").where("id = 1").first().voltage_kv == [11.0]
-    assert documents_extract.labelled_lines(docs, "id", "t").first().value == "supply of pumps"
+    assert [tuple(r) for r in documents_extract.labelled_lines(docs, "id", "t").collect()] == [(1, 1, "tender_title", "supply of pumps")]
+    found = {(r.pattern, r.item_text, r.quantity, r.unit) for r in documents_extract.item_lines(docs, "id", "t").collect()}
+    assert ("spec_string", "CABLE,PWR,240MM2,1C,AL,X1", "", "") in found and ("boq_schedule_line", "Hex bolt long", "1,040", "nos") in found
+    assert ("spec_sentence", "Gate valve 50 mm qty 1,200 nos", "", "") in found and not any(p == "item_category" for p, *_ in found)
     assert documents_extract.schedule_lines(docs, "id", "t").where("item_no = 3").first().quantity == 40.0
-    row = documents_extract.table_rows(docs, "id", "t").first()
+    row = documents_extract.table_rows(docs, "id", "t").orderBy(F.desc("line_no")).first()
     assert (row.item, row.unit, row.quantity, row.value) == ("Bolt M12", "nos", 40.0, 1200.5)
 
 
@@ -167,6 +170,8 @@ def test_html(spark):
     got = documents_extract.pages(spark.createDataFrame([(1, html, "https://x.example/list"), (2, None, None)], "id long, h string, u string"), "id", "h", "u").orderBy("id").collect()
     assert got[0].text.split("\n")[:2] == ["Tender", "Gate valve 50"] and got[0].links == ["https://x.example/tender/1"]
     assert got[0].tables == [[["No", "Item"], ["1", "Valve"]]] and got[1].text == ""
+    rows = documents_extract.page_table_rows(documents_extract.pages(spark.createDataFrame([(1, html, None)], "id long, h string, u string"), "id", "h"), "id", ("ITEM",)).collect()
+    assert [r.values for r in rows] == [{"no": "1", "item": "Valve"}]
     sizes = spark.createDataFrame([("1.5 MB",), ("20 kb",), ("none",)], "s string").select(documents_extract.advertised_bytes(F.col("s")).alias("b")).collect()
     assert [r.b for r in sizes] == [1.5 * 1024**2, 20 * 1024.0, None]
 
