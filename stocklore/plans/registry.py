@@ -28,4 +28,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import data_quality, reference_ops  # noqa: E402, F401
+from . import data_quality, record_ops, reference_ops  # noqa: E402, F401
