@@ -102,7 +102,7 @@ def file_report(flags: DataFrame, path: str = "document_url") -> DataFrame:
     seen = flags.groupBy(F.col(path).alias("source_path")).agg(
         F.count("*").alias("records_seen"), F.count_if(F.col("quality_status") != "quarantined").alias("records_valid"), F.count_if(F.col("quality_status") == "quarantined").alias("records_quarantined")
     )
-    return seen.join(maps, "source_path", "left")
+    return seen.join(maps.withColumnRenamed("source_path", "_path"), F.col("source_path").eqNullSafe(F.col("_path")), "left").drop("_path")
 
 
 def split(flags: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -59,29 +59,35 @@ def _valid(c: str) -> str:
     return f"(regexp_replace(coalesce({c}, ''), '[\\s\\x{{85}}\\p{{Z}}]+', '', 'g') = '' OR ({amount} IS NOT NULL AND NOT isinf({amount}) AND ({rest} = '' OR {form} IN (SELECT k FROM f))))"
 
 
-@query(
-    f"""WITH f AS (SELECT {_FORM.format('surface_form')} AS k FROM unit_normalisation),
+_COLUMNS = ("corpus_id", "organization", "source_system", "source_section", "tender_reference", "tender_id", "description", "description_kind", "item_type_hint", "quantity", "unit", "location", "product_category", "document_url", "source_url")
+_CELLS = ", ".join(f"regexp_extract(s, '^(?:{_F},){{{i}}}({_F})', 1) AS c{i}" for i in range(15))
+_PLAIN = ", ".join(f"""replace(CASE WHEN c{i} LIKE '"%' THEN c{i}[2:-2] ELSE c{i} END, '""', '"') AS {name}""" for i, name in enumerate(_COLUMNS))
+_PARSED = f"""f AS (SELECT {_FORM.format('surface_form')} AS k FROM unit_normalisation),
 l AS (SELECT line_id, regexp_replace(coalesce(raw_line, ''), '[\\r\\n]+$', '') AS s, raw_line IS NULL AS missing FROM raw_corpus_lines),
-c AS (SELECT line_id, NOT regexp_full_match(s, '{_F}(?:,{_F})*') AS broken, CASE WHEN missing THEN 0 ELSE 1 + length(x) - length(replace(x, ',', '')) END AS n, replace(CASE WHEN q LIKE '"%' THEN q[2:-2] ELSE q END, '""', '"') AS q
-  FROM (SELECT *, regexp_replace(s, '"(?:[^"]|"")*"', '', 'g') AS x, regexp_extract(s, '^(?:{_F},){{9}}({_F})', 1) AS q FROM l)),
-r AS (SELECT line_id AS row_id, CASE WHEN broken THEN 'broken_quoting' WHEN n <> 15 THEN 'wrong_column_count' WHEN NOT {_valid('q')} THEN 'invalid_quantity' END AS check_code FROM c
-  UNION ALL SELECT corpus_id, CASE WHEN NOT {_valid('quantity')} THEN 'invalid_quantity' END FROM material_description_corpus)
-SELECT row_id, check_code FROM r WHERE check_code IS NOT NULL"""
-)
+c AS (SELECT line_id, NOT regexp_full_match(s, '{_F}(?:,{_F})*') AS broken, CASE WHEN missing THEN 0 ELSE 1 + length(x) - length(replace(x, ',', '')) END AS n, {_PLAIN} FROM (SELECT *, regexp_replace(s, '"(?:[^"]|"")*"', '', 'g') AS x, {_CELLS} FROM l)),
+r AS (SELECT line_id AS row_id, CASE WHEN broken THEN 'broken_quoting' WHEN n <> 15 THEN 'wrong_column_count' WHEN NOT {_valid('quantity')} THEN 'invalid_quantity' END AS check_code FROM c
+  UNION ALL SELECT corpus_id, CASE WHEN NOT {_valid('quantity')} THEN 'invalid_quantity' END FROM material_description_corpus)"""
+
+
+@query(f"WITH {_PARSED} SELECT row_id, check_code FROM r WHERE check_code IS NOT NULL")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.reject_rows import rejected
 
     return rejected(read(spark, sf, "raw_corpus_lines"), read(spark, sf, "material_description_corpus"), read(spark, sf, "unit_normalisation")).select("row_id", "check_code")
 
 
-@query()
+@query(
+    f"""WITH {_PARSED} SELECT row_id, check_code, CASE check_code WHEN 'invalid_quantity' THEN 'quantity' ELSE 'raw_line' END AS field,
+  CASE check_code WHEN 'broken_quoting' THEN 'A quoted value isn''t closed or a quote mark stands where none may.' WHEN 'wrong_column_count' THEN 'The record hasn''t the expected number of values.' ELSE 'The quantity isn''t one finite, non-negative number with a listed unit at most.' END AS message
+FROM r WHERE check_code IS NOT NULL"""
+)
 def p5_rejects(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.reject_rows import rejected
 
     return rejected(read(spark, sf, "raw_corpus_lines"), read(spark, sf, "material_description_corpus"), read(spark, sf, "unit_normalisation"))
 
 
-@query()
+@query(f"WITH {_PARSED} SELECT line_id, {', '.join(f'nullif({c}, $$$$) AS {c}'.replace('$$$$', chr(39) * 2) for c in _COLUMNS)}, {_AMOUNT.format('quantity')} AS amount FROM c JOIN r ON row_id = line_id WHERE check_code IS NULL")
 def p5_loaded(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.reject_rows import loaded
 

@@ -71,9 +71,16 @@ def dq_status(spark: SparkSession, sf: str) -> DataFrame:
     return _flags(spark, sf).select("corpus_id", "quality_status")
 
 
-@query()
+@query(
+    f"""WITH {_FLAGS}, x AS (SELECT document_url AS p, severity, check_code, count(*) AS n FROM fl JOIN material_description_corpus ON corpus_id = row_id GROUP BY ALL),
+m AS (SELECT p, {", ".join(f"array_to_string(list_sort(list(check_code || '=' || n) FILTER (severity = '{k}')), '|') AS {k.lower()}_counts" for k in ("WARNING", "ERROR", "INFO"))} FROM x GROUP BY p),
+s AS (SELECT document_url AS p, count(*) AS records_seen, count(*) FILTER (NOT coalesce(bad, false)) AS records_valid, count(*) FILTER (bad) AS records_quarantined FROM material_description_corpus LEFT JOIN (SELECT row_id, bool_or(severity = 'ERROR') AS bad FROM fl GROUP BY 1) ON row_id = corpus_id GROUP BY 1)
+SELECT s.p AS source_path, records_seen, records_valid, records_quarantined, coalesce(warning_counts, '') AS warning_counts, coalesce(error_counts, '') AS error_counts, coalesce(info_counts, '') AS info_counts FROM s LEFT JOIN m ON s.p IS NOT DISTINCT FROM m.p"""
+)
 def dq_file_report(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.file_report(_flags(spark, sf))
+    report = quality.file_report(_flags(spark, sf))
+    listed = lambda m: F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "|"), F.lit(""))
+    return report.select("source_path", "records_seen", "records_valid", "records_quarantined", *[listed(c).alias(c) for c in ("warning_counts", "error_counts", "info_counts")])
 
 
 @query(
@@ -250,7 +257,22 @@ def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.normalized(read(spark, sf, CORPUS).select("corpus_id", "description"), read(spark, sf, UNITS))
 
 
-@query()
+# The table of symbols once more, by hand: symbols of one unit, its name, dimension and factor.
+_SYMBOLS = """
+t AS (SELECT unnest(string_split(k, ' ')) AS k, name, dim, f FROM (VALUES
+  ('kg kgs kilogram kilograms', 'kilogram', 'mass', 1.0), ('gm g gram', 'gram', 'mass', 0.001), ('ton tonne mt metric_ton', 'metric_ton', 'mass', 1000.0),
+  ('l litre liter ltr liters', 'liter', 'volume', 0.001), ('kl kiloliter', 'kiloliter', 'volume', 1.0), ('m3 m^3 cu.m cum cubic_meter', 'cubic_meter', 'volume', 1.0),
+  ('mm millimeter', 'millimeter', 'length', 0.001), ('cm centimeter', 'centimeter', 'length', 0.01), ('m meter', 'meter', 'length', 1.0), ('in inch', 'inch', 'length', 0.0254),
+  ('mm2 sqmm square_millimeter', 'square_millimeter', 'area', 0.000001), ('cm2 square_centimeter', 'square_centimeter', 'area', 0.0001), ('sqm m2 square_meter', 'square_meter', 'area', 1.0),
+  ('kw kilowatt', 'kilowatt', 'power', 1000.0), ('kva kilovolt_ampere', 'kilovolt_ampere', 'power', 1000.0), ('mva megavolt_ampere', 'megavolt_ampere', 'power', 1000000.0),
+  ('kv kilovolt', 'kilovolt', 'voltage', 1000.0), ('v volt', 'volt', 'voltage', 1.0), ('amp a ampere', 'ampere', 'current', 1.0)) AS x(k, name, dim, f))"""
+
+
+@query(
+    f"""WITH {_SYMBOLS}, u AS (SELECT surface_form, canonical_unit, replace(lower(trim(surface_form)), ' ', '') AS a, replace(lower(trim(canonical_unit)), ' ', '') AS b FROM unit_normalisation)
+SELECT surface_form AS source, canonical_unit AS target, coalesce(x.name, a) AS symbol, coalesce(x.dim = y.dim, false) AS convertible, CASE WHEN x.dim = y.dim THEN CAST(x.f AS DOUBLE) / CAST(y.f AS DOUBLE) END AS one_in_target
+FROM u LEFT JOIN t x ON x.k = a LEFT JOIN t y ON y.k = b"""
+)
 def unit_conversions(spark: SparkSession, sf: str) -> DataFrame:
     units = read(spark, sf, UNITS)
     b = F.col("canonical_unit")
@@ -384,7 +406,10 @@ def document_specifications(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.transform("voltage_kv", lambda v: F.round(v * 1000).cast("bigint").cast("string")), "|").alias("volts"), F.array_join("standards", "|").alias("standards"))
 
 
-@query()
+@query(
+    f"""WITH {_LINES}, h AS (SELECT doc_id, line_no, regexp_extract(line, '(?i)^(\\d{{1,3}})[.)]?\\s+(\\D.{{5,}}?)[\\s,|-]+(\\d+(?:\\.\\d+)?)\\s*(nos?\\.?|sets?|each|kg|mt|mtr?|metres?|lots?|ltr|pairs?)\\s*$', ['n', 'd', 'q', 'u']) AS r FROM l)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(r.n AS INTEGER) AS item_no, r.d AS description, CAST(r.q AS DOUBLE) AS quantity, lower(r.u) AS unit FROM h WHERE r.n <> ''"""
+)
 def document_schedule_lines(spark: SparkSession, sf: str) -> DataFrame:
     return documents_extract.schedule_lines(read(spark, sf, DOCS), "doc_id", "text")
 
