@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -121,7 +121,40 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return product_groups(_read(spark, sf, "material_description_corpus"), _read(spark, sf, "material_grades"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p4_found, p6_found, p6_unmatched, p7_found, p7_restored, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_sentences)}
+def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with tokens, and whether its pieces follow one another without gap, are split only beyond the capacity, and stand in containers that hold no more than it."""
+    from ..operators.durable import durable
+    from .packing import pack
+
+    sized = durable(_sized(spark, sf).select("doc_id", "n_tokens"))
+    packed = durable(pack(sized, CAPACITY))
+    fits = packed.groupBy("container_id").agg((F.sum("length") <= CAPACITY).alias("fits"))
+    per = packed.join(fits, "container_id").groupBy("doc_id").agg(F.sum("length").alias("t"), F.count("*").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.countDistinct("start").alias("starts"), F.bool_and("fits").alias("fits"))
+    whole = (F.col("t") == F.col("n_tokens")) & (F.col("end") == F.col("t")) & (F.col("starts") == F.col("n")) & (F.col("n") == F.ceil(F.col("t") / CAPACITY)) & F.col("fits")
+    return sized.where("n_tokens > 0").join(per, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"))
+
+
+def p9_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source, and whether its documents keep within their repeats and its share is nearer to the target than one of its documents."""
+    from .mixture import mixed_sizes, shares
+
+    weights, sized = _read(spark, sf, "source_weights"), _slim(spark, sf)
+    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    found = shares(mixed_sizes(sized, weights), weights).join(longest, "source", "left")
+    every = F.sum("tokens").over(Window.partitionBy())  # one row a source
+    near = F.abs(F.col("tokens") - F.col("target_share") * every) <= F.coalesce("longest", F.lit(0)) + 1
+    return found.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), near.alias("share_kept"))
+
+
+def p10_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters that aren't blank, by document, counted in its sentences."""
+    from .sentences import sentences
+
+    found = sentences(_read(spark, sf, "documents"))
+    return found.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("sentence", r"[\s\x{85}\p{Z}\x{200B}\x{FEFF}]+", ""))).alias("characters"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p4_found, p6_found, p6_unmatched, p7_found, p7_restored, p8_packed, p8_report, p8_whole, p9_mixture, p9_shares, p9_limits, p10_found, p10_sentences, p10_covered)}
 ORACLES: dict[str, str] = {}
 ORACLES["p1_found"] = """
 WITH RECURSIVE k AS (
@@ -140,3 +173,13 @@ WITH k AS (SELECT corpus_id, array_to_string(regexp_extract_all(lower(tender_ref
 f AS (SELECT r, w, min(corpus_id) AS first_id FROM k GROUP BY r, w HAVING count(*) > 1)
 SELECT first_id, corpus_id AS copy_id FROM k JOIN f USING (r, w) WHERE corpus_id <> first_id
 """
+
+ORACLES["p2_copies"] = ORACLES["p2_found"].split("SELECT first_id, corpus_id")[0] + """
+, c AS (SELECT k.corpus_id, f.first_id FROM k JOIN f USING (r, w)), n AS (SELECT first_id, count(*) AS copies FROM c GROUP BY 1)
+SELECT m.corpus_id AS first_id, coalesce(n.copies, 1) AS copies FROM material_description_corpus m LEFT JOIN n ON n.first_id = m.corpus_id WHERE m.corpus_id NOT IN (SELECT corpus_id FROM c WHERE corpus_id <> first_id)
+"""
+
+# What must hold of every document and source, whatever the tokenizer counts.
+ORACLES["p8_whole"] = "SELECT doc_id, true AS whole FROM documents WHERE length(text) > 0"
+ORACLES["p9_limits"] = "SELECT source, true AS repeats_kept, true AS share_kept FROM source_weights"
+ORACLES["p10_covered"] = "SELECT doc_id, length(regexp_replace(text, '[\\s\\x0b\\x{85}\\p{Z}\\x{200B}\\x{FEFF}]+', '', 'g')) AS characters FROM documents WHERE regexp_matches(text, '[^\\s\\x0b\\x{85}\\p{Z}\\x{200B}\\x{FEFF}]')"
