@@ -1,8 +1,8 @@
 """Grouping listings that describe the same product.
 
-1. Noun phrases that name items are mined from trusted listings (those with a type
-   hint): a field without figures that occurs often enough and nearly always beside one
-   hint names that hint's items. They join the seed vocabulary of the trade.
+1. Nouns of items, the values of variant attributes and their wordings are mined from
+   trusted listings (those with a type hint) by the brand-model phrases they stand beside
+   (``product_mining``); a seed vocabulary of the trade fills what a small table can't tell.
 2. An Aho-Corasick automaton of that dictionary finds the phrases everywhere in the
    texts; the longest matches that don't overlap win. Model codes, grades and measures
    (converted to base units) are read beside them.
@@ -26,76 +26,44 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import durable
 from ..session import spread
-from . import product_lexicon as lex
-from .product_parse import ListingParser
+from .product_mining import mined_dictionary
+from .product_parse import ListingParser, dictionary, seed_phrases
 
-SLOTS = ("kind", "model", "grade", "length", "pressure", "power", "mass", "volume", "voltage", "current", "cores", "form", "finish", "sheath")
-OPTIONAL = ("form", "finish", "sheath")
-SUPPORT = 2e-4  # a mined phrase names at least this share of the trusted listings: at most 1 / SUPPORT x fields phrases
-PURITY = 0.9
+FIXED = ("kind", "model", "grade", "length", "pressure", "power", "mass", "volume", "voltage", "current", "cores")
+MEASURES = FIXED[3:]
+STATED = 5  # a listing that leaves values out joins a product only with this many values in common, its kind, code and grade among them where stated
 MAX_GRADES = 200_000
 
 
-def mined_phrases(rows: DataFrame, text: str, hint: str) -> dict[str, tuple[str, str]]:
-    """Item-naming phrases of trusted listings, phrase -> ("kind", name), beyond those of the seed vocabulary."""
-    trusted = rows.select(F.lower(F.trim(hint)).alias("hint"), F.lower(F.col(text)).alias("t")).where("hint <> '' and t is not null")
-    total = trusted.count()
-    fields = trusted.select("hint", F.explode(F.array_distinct(F.split("t", r"\s*[,;|]\s*"))).alias("phrase")).where(F.col("phrase").rlike(r"^[a-z][a-z/]*( [a-z]+){0,3}$"))
-    counts = fields.groupBy("phrase", "hint").agg(F.count("*").alias("n"))
-    by_phrase = counts.groupBy("phrase").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("hint", "n").alias("hint"))
-    found = by_phrase.where((F.col("n") >= max(5.0, SUPPORT * total)) & (F.col("most") >= PURITY * F.col("n"))).collect()
-    known = {v: k for k, variants in lex.KINDS.items() for v in variants}
-    hint_kinds: dict[str, set[str]] = {}
-    for r in found:
-        if r.phrase in known:
-            hint_kinds.setdefault(r.hint, set()).add(known[r.phrase])
-    out = {}
-    for r in found:
-        kinds = hint_kinds.get(r.hint, set())
-        if r.phrase in known or r.phrase in {v for g in (lex.FORMS, lex.FINISHES, lex.SHEATHS) for vs in g.values() for v in vs}:
-            continue
-        if not kinds:
-            out[r.phrase] = ("kind", r.hint)
-        else:
-            words = set(r.phrase.split())
-            near = [(len(words & {w for v in lex.KINDS[k] for w in v.split()}), k) for k in sorted(kinds)]
-            best = max(near)
-            if len(kinds) == 1 and best[0]:
-                out[r.phrase] = ("kind", next(iter(kinds)))
-            elif best[0] and sum(n == best[0] for n, _ in near) == 1:
-                out[r.phrase] = ("kind", best[1])
-    return out
-
-
-def parsed(rows: DataFrame, key: str, text: str, grades: list[str], phrases: dict[str, tuple[str, str]]) -> DataFrame:
-    """``_id`` and the slots of every listing that names an item kind or a model beside a grade."""
+def parsed(rows: DataFrame, key: str, text: str, grades: list[str], phrases: dict[str, tuple[str, str]], slots: tuple[str, ...]) -> DataFrame:
+    """``_id`` and the ``slots`` of every listing that names an item kind or a model beside a grade."""
     context = rows.sparkSession.sparkContext.broadcast((grades, phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = ListingParser(context.value[0], context.value[1])
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            columns: list[list] = [[] for _ in range(len(SLOTS) + 1)]
+            columns: list[list] = [[] for _ in range(len(slots) + 1)]
             for i, t in zip(ids, texts):
                 s = parser.parse(t)
                 if len(s) > 2 and ("kind" in s or ("model" in s and "grade" in s)):
                     columns[0].append(i)
-                    for c, name in zip(columns[1:], SLOTS):
+                    for c, name in zip(columns[1:], slots):
                         c.append(s.get(name))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], ["_id", *SLOTS])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], ["_id", *slots])
 
     source = rows.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_t is not null")
-    return spread(source).mapInArrow(run, source.select("_id").schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {s} string" for s in SLOTS))
+    return spread(source).mapInArrow(run, source.select("_id").schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {s} string" for s in slots))
 
 
-def _stated() -> Column:
-    return F.concat(*[F.when(F.col(s).isNull(), "0").otherwise("1") for s in SLOTS])
+def _stated(slots: tuple[str, ...]) -> Column:
+    return F.concat(*[F.when(F.col(s).isNull(), "0").otherwise("1") for s in slots])
 
 
 def _anchors(prefix: str = "") -> Column:
     """Keys by which listings that lack a value, or mistype one, can meet their product."""
-    c = {s: F.col(prefix + s) for s in SLOTS}
-    measures = [c[s] for s in ("length", "pressure", "power", "mass", "volume", "voltage", "current", "cores")]
+    c = {s: F.col(prefix + s) for s in FIXED}
+    measures = [c[s] for s in MEASURES]
     shape = F.concat_ws("|", *[F.coalesce(m, F.lit("-")) for m in measures])
     made = (
         F.when(c["model"].isNotNull() & c["grade"].isNotNull(), F.xxhash64(F.lit("mg"), c["model"], c["grade"])),
@@ -105,40 +73,44 @@ def _anchors(prefix: str = "") -> Column:
     return F.array_compact(F.array(*made))
 
 
-def product_groups(rows: DataFrame, grades: DataFrame, key: str = "corpus_id", text: str = "description", hint: str = "item_type_hint") -> DataFrame:
+def product_groups(rows: DataFrame, grades: DataFrame, key: str = "corpus_id", text: str = "description", hint: str = "item_type_hint", seed: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(``first_id``, ``listing_id``) for each listing but the smallest of its product.
 
     ``key`` must be unique. Null, blank and administrative texts are no listings; a listing
-    with a value left out that two products could explain stays by itself.
+    with a value left out that two products could explain stays by itself. ``seed``: a vocabulary
+    (phrase -> slot, value) that fills what can't be mined from a small table; by default the trade's, ``{}`` for none.
     """
     tokens = [r.t for r in grades.select(F.col("grade_token").alias("t")).where("t is not null").distinct().limit(MAX_GRADES + 1).collect()]
     if len(tokens) > MAX_GRADES:
         raise ValueError("the grade list is too long to be held by every worker")
-    listed = durable(parsed(rows, key, text, tokens, mined_phrases(rows, text, hint)))
-    same = listed.groupBy(*SLOTS).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_stated", _stated())
-    same = durable(same.withColumn("_g", F.xxhash64(*[F.coalesce(s, F.lit("")) for s in SLOTS], "_first")))
+    phrases = dictionary(mined_dictionary(rows, text, hint), seed_phrases() if seed is None else seed)
+    optional = tuple(sorted({slot for slot, _ in phrases.values()} - {"kind"}))
+    slots = FIXED + optional
+    listed = durable(parsed(rows, key, text, tokens, phrases, slots))
+    same = listed.groupBy(*slots).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).withColumn("_stated", _stated(slots))
+    same = durable(same.withColumn("_g", F.xxhash64(*[F.coalesce(s, F.lit("")) for s in slots], "_first")))
     # the usual set of stated attributes of each kind: one row a kind
     usual = same.where("kind is not null and model is not null").groupBy("kind", "_stated").agg(F.sum("_n").alias("_n")).groupBy("kind").agg(F.max(F.length(F.regexp_replace("_stated", "0", ""))).alias("_most"), F.max_by("_stated", "_n").alias("_usual"))
     marked = same.join(F.broadcast(usual.select("kind", "_usual")), "kind", "left").withColumn("_full", F.coalesce(F.col("_stated") == F.col("_usual"), F.lit(False)))
     full, part = marked.where("_full"), marked.where("not _full")
-    left = part.select("_g", "_stated", "_first", *SLOTS, F.explode(_anchors()).alias("_a"))
-    right = full.select(F.col("_g").alias("g2"), *[F.col(s).alias(f"{s}_2") for s in SLOTS], F.explode(_anchors()).alias("_a"))
-    agree = [F.coalesce(F.col(s) == F.col(f"{s}_2"), F.lit(True)) for s in SLOTS]
+    left = part.select("_g", "_stated", "_first", *slots, F.explode(_anchors()).alias("_a"))
+    right = full.select(F.col("_g").alias("g2"), *[F.col(s).alias(f"{s}_2") for s in slots], F.explode(_anchors()).alias("_a"))
+    agree = [F.coalesce(F.col(s) == F.col(f"{s}_2"), F.lit(True)) for s in slots]
     conflicts = sum((F.when(a, 0).otherwise(1) for a in agree), F.lit(0))
-    both = sum((F.when(F.col(s).isNotNull() & F.col(f"{s}_2").isNotNull(), 1).otherwise(0) for s in SLOTS), F.lit(0))
-    met = left.join(right, "_a").where((conflicts == 0) & (both >= 5)).select("_g", "g2").distinct()
+    both = sum((F.when(F.col(s).isNotNull() & F.col(f"{s}_2").isNotNull(), 1).otherwise(0) for s in slots), F.lit(0))
+    met = left.join(right, "_a").where((conflicts == 0) & (both >= STATED)).select("_g", "g2").distinct()
     joined = met.groupBy("_g").agg(F.count("*").alias("_k"), F.min("g2").alias("_to")).where("_k = 1").select("_g", "_to")
     placed = marked.join(joined, "_g", "left")
     # listings without a complete product meet each other: same item, code, grade and measures, no optional value contradicted
-    core = [s for s in SLOTS if s not in OPTIONAL]
+    core = FIXED
     alone = placed.where("not _full and _to is null and kind is not null and model is not null").withColumn("_c", F.xxhash64(*[F.coalesce(s, F.lit("")) for s in core]))
     firm = F.lit(True)
-    for s in OPTIONAL:
+    for s in optional:
         firm = firm & F.coalesce(F.min(s) == F.max(s), F.lit(True))
     met_alone = alone.groupBy("_c").agg(F.min("_g").alias("_with"), firm.alias("_firm"), F.count("*").alias("_k")).where("_firm and _k > 1")
     paired = alone.select("_g", "_c").join(met_alone, "_c").select("_g", "_with")
-    heads = placed.join(paired, "_g", "left").select(*SLOTS, "_first", F.coalesce("_to", "_with", "_g").alias("_p"))
+    heads = placed.join(paired, "_g", "left").select(*slots, "_first", F.coalesce("_to", "_with", "_g").alias("_p"))
     first = heads.groupBy("_p").agg(F.min("_first").alias("first_id"))
-    slots_key = F.md5(F.concat_ws("\x01", *[F.coalesce(s, F.lit("")) for s in SLOTS]))
+    slots_key = F.md5(F.concat_ws("\x01", *[F.coalesce(s, F.lit("")) for s in slots]))
     named = heads.join(first, "_p").select(slots_key.alias("_h"), "first_id")
     return listed.select("_id", slots_key.alias("_h")).join(named, "_h").where("_id <> first_id").select("first_id", F.col("_id").alias("listing_id"))

@@ -23,8 +23,21 @@ _DIGITS = str.maketrans("oqdilzsb", "00011258")
 _LETTERS = str.maketrans("015823", "oisbze")
 
 
-def _phrases(groups: dict[str, list[str]], slot: str) -> dict[str, tuple[str, str]]:
-    return {v: (slot, k) for k, variants in groups.items() for v in variants}
+def seed_phrases() -> dict[str, tuple[str, str]]:
+    """The trade vocabulary as phrase -> (slot, value)."""
+    groups = (("kind", lex.KINDS), ("form", lex.FORMS), ("finish", lex.FINISHES), ("sheath", lex.SHEATHS))
+    return {v: (slot, k) for slot, group in groups for k, variants in group.items() for v in variants}
+
+
+def dictionary(mined: dict[str, tuple[str, str]], seed: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:
+    """Mined phrases and, where they say nothing, seed phrases; a mined value is named after the seed phrases among its wordings, so that both mean one value."""
+    named: dict[tuple[str, str], dict[tuple[str, str], int]] = {}
+    for phrase, value in mined.items():
+        if phrase in seed:
+            votes = named.setdefault(value, {})
+            votes[seed[phrase]] = votes.get(seed[phrase], 0) + 1
+    best = {value: max(sorted(votes), key=votes.get) for value, votes in named.items()}
+    return {p: seed.get(p) or best.get(v, v) for p, v in mined.items()} | {p: v for p, v in seed.items() if p not in mined}
 
 
 def segments(text: str) -> list[str]:
@@ -36,18 +49,19 @@ def segments(text: str) -> list[str]:
 
 
 class ListingParser:
-    """Turns listing texts into slot dictionaries. ``phrases``: further mined phrases -> (slot, value)."""
+    """Turns listing texts into slot dictionaries. ``phrases``: the dictionary, phrase -> (slot, value), slot ``kind`` for nouns of items."""
 
-    def __init__(self, grades: Iterable[str], phrases: dict[str, tuple[str, str]] | None = None, memo: int = 100_000):
+    def __init__(self, grades: Iterable[str], phrases: dict[str, tuple[str, str]], memo: int = 100_000):
         import ahocorasick
 
         self.grades = {g.lower() for g in grades}
-        self.exact = _phrases(lex.KINDS, "kind") | _phrases(lex.FORMS, "form") | _phrases(lex.FINISHES, "finish") | _phrases(lex.SHEATHS, "sheath") | (phrases or {})
+        self.exact = phrases
         self.automaton = ahocorasick.Automaton()
         for phrase, hit in self.exact.items():
             self.automaton.add_word(phrase, (len(phrase), hit))
-        self.automaton.make_automaton()
-        self.kinds = [(v, frozenset(v)) for v in sorted({v for variants in lex.KINDS.values() for v in variants if len(v) > 5})]
+        if phrases:
+            self.automaton.make_automaton()
+        self.kinds = [(v, frozenset(v)) for v in sorted(v for v, (slot, _) in phrases.items() if slot == "kind" and len(v) > 5)]
         self.memo: dict[str, list[tuple[str, str]]] = {}
         self.runs: dict[str, tuple[float, str | None]] = {}
         self.limit = memo
@@ -97,7 +111,7 @@ class ListingParser:
             dimension, factor = lex.ITEM_UNITS[m[2]]
             out.append((dimension, str(round(float(m[1].replace(",", "")) * factor))))
         hits = []
-        for end, (n, hit) in self.automaton.iter(s):
+        for end, (n, hit) in self.automaton.iter(s) if self.exact else ():
             start = end - n + 1
             if not ((start and s[start - 1].isalnum()) or (end + 1 < len(s) and s[end + 1].isalnum())):
                 hits.append((-n, start, end, hit))

@@ -1,13 +1,13 @@
 from pyspark.sql import functions as F
 
 from stocklore.llm.product_groups import product_groups
-from stocklore.llm.product_parse import ListingParser, segments
+from stocklore.llm.product_parse import ListingParser, dictionary, seed_phrases, segments
 
 GRADES = ["QX263", "NIM753TX"]
 
 
 def test_parser():
-    p = ListingParser(GRADES)
+    p = ListingParser(GRADES, seed_phrases())
     base = p.parse("GATE VALVE, SIZE 25 MM, RATING 2.5 BAR, FLANGED ENDS, GR. QX263, PHOSPHATED, SERIES B497")
     assert base == {"kind": "gate valve", "length": "25000", "pressure": "250000", "form": "flanged", "grade": "qx263", "finish": "phosphated", "model": "b497"}
     for other in (
@@ -39,3 +39,34 @@ def test_groups(spark):
     got = {(r.first_id, r.listing_id) for r in product_groups(df, grades).collect()}
     assert got == {("M01", "M02"), ("M01", "M11"), ("M03", "M07"), ("M12", "M13")}
     assert product_groups(df.limit(0), grades).count() == 0
+
+
+def test_mining_without_a_seed(spark):
+    import random
+
+    from stocklore.llm.product_mining import mined_dictionary
+
+    rnd = random.Random(3)
+    nouns = {"pumps": [["bilge pump", "pump bilge", "blg pmp"], ["vane pump", "pump vane type"]], "valves": [["pinch valve", "valve pinch"]]}
+    mounts, coats = [["foot fixed", "on feet"], ["rail fixed", "on rail"], ["wall hung", "hung on wall"]], [["tinned", "tin coat"], ["waxed", "wax coat"], ["raw face", "untreated"]]
+    texts = []
+    for k in range(700):
+        hint = rnd.choice(sorted(nouns))
+        noun, mount, coat = rnd.choice(nouns[hint]), rnd.choice(mounts), rnd.choice(coats)
+        for _ in range(rnd.randrange(2, 6)):
+            fields = [rnd.choice(noun), rnd.choice(mount), f"series {'abcdefgh'[k % 8]}{100 + k}", "grade QX263"]
+            fields += [rnd.choice(coat)] if rnd.random() < 0.8 else []
+            fields += [w for w in ("best quality", "long life", "in stock") if rnd.random() < 0.3]
+            rnd.shuffle(fields)
+            texts.append((", ".join(fields), hint if rnd.random() < 0.97 else "pumps"))
+    found = mined_dictionary(spark.createDataFrame(texts + [(None, "pumps"), ("x, y", None), ("", " ")], "t string, h string").withColumn("ps", F.lit("clash")), "t", "h")
+    groups = {}
+    for phrase, value in found.items():
+        groups.setdefault(value, set()).add(phrase)
+    wanted = {frozenset(g) for gs in (*nouns.values(), mounts, coats) for g in gs}
+    assert {frozenset(g) for g in groups.values()} == wanted
+    slots = {frozenset(g): slot for (slot, _), g in groups.items()}
+    assert {slots[frozenset(g)] for gs in nouns.values() for g in gs} == {"kind"}
+    assert len({slots[frozenset(g)] for g in mounts}) == len({slots[frozenset(g)] for g in coats}) == 1 and slots[frozenset(mounts[0])] != slots[frozenset(coats[0])]
+    assert mined_dictionary(spark.createDataFrame([], "t string, h string"), "t", "h") == {}
+    assert dictionary({"a": ("v1", "a"), "b": ("v1", "a")}, {"b": ("form", "x"), "c": ("form", "y")}) == {"a": ("form", "x"), "b": ("form", "x"), "c": ("form", "y")}
