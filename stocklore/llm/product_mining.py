@@ -26,8 +26,8 @@ from ..operators.durable import durable
 SUPPORT = 2e-4  # a phrase occurs in at least this share of the trusted listings, so there are at most fields / SUPPORT phrases
 PURITY = 0.8  # share of a noun's listings that have its hint
 REPLACED = {True: 0.08, False: 0.45}  # share of a wording's products in which the other wording occurs too: nouns of one hint, values
-LIFT = 3.0  # how much more often than by chance
-TOGETHER = 0.02  # share of a wording's listings that may hold the other one as well
+LIFT = 1.5  # how much more often than by chance two wordings must meet in products; values of one attribute never do
+TOGETHER = 0.02  # share of a wording's listings that may hold the other one as well (or a tenth of chance)
 CONSTANT = 0.68  # mean share of a product's listings that state a value, where one does
 MEETING = 0.1  # how often values of one attribute may stand in one listing, against chance
 
@@ -96,7 +96,7 @@ def mined_dictionary(rows: DataFrame, text: str, hint: str) -> dict[str, tuple[s
     for (a, b), k in met.items():
         few, more = sorted((products[a], products[b]))
         noun = (a in pure) == (b in pure) and pure.get(a) == pure.get(b)
-        if noun and k >= (2 if a in pure else 4) and k >= REPLACED[a in pure] * few and k >= LIFT * few * more / many and beside.get((a, b), 0) <= TOGETHER * min(n[a], n[b]):
+        if noun and k >= (2 if a in pure else 4) and k >= REPLACED[a in pure] * few and k >= LIFT * few * more / many and beside.get((a, b), 0) <= max(TOGETHER * min(n[a], n[b]), 0.1 * n[a] * n[b] / total):
             same.join(a, b)
     value = {p: same.root(p) for p in n}
 
