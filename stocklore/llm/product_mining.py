@@ -17,7 +17,11 @@ paired. The dictionary is bounded by the support share, so pair counts fit on th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +44,68 @@ CODE = r"(?<![a-z0-9])([a-z]{2,3}\d[0-9a-z]{2,4})\b"
 
 def _listings(rows: DataFrame, text: str, hint: str) -> DataFrame:
     """Trusted listings: ``hint``, ``product`` (null without a series code) and the distinct ``phrases`` of words."""
-    t = F.lower(F.col(text))
-    trimmed = F.transform(F.split(t, FIELD), lambda f: F.regexp_replace(F.regexp_replace(f, r"\s+", " "), r"^[ .:!()\"'•–*-]+|[ .:!()\"'•–*-]+$", ""))
-    phrases = F.array_distinct(F.filter(trimmed, lambda f: f.rlike(WORDS)))
+    t = F.regexp_replace(F.lower(F.col(text)), r"[ \t]+", " ")
+    wordy = F.filter(F.split(t, FIELD), lambda f: ~f.rlike(r"\d"))
+    phrases = F.array_distinct(F.filter(F.transform(wordy, lambda f: F.btrim(f, F.lit(" .:!()\"'•–*-"))), lambda f: f.rlike(WORDS)))
     model, codes = F.regexp_extract(t, MODEL, 1), F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(CODE), F.lit(1))))
     product = F.when(model != "", F.xxhash64(F.lower(F.trim(hint)), model, F.array_join(codes, " ")))
     return rows.where(f"trim({hint}) <> '' and {text} is not null").select(F.lower(F.trim(hint)).alias("hint"), product.alias("product"), phrases.alias("phrases"))
 
 
+def _numbered(listings: DataFrame, phrases: list[str]) -> DataFrame:
+    """``product`` and the sorted numbers (places in ``phrases``) of its listing's phrases; others are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(phrases, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            ids = pc.index_in(lists.flatten(), value_set=known)
+            row = pc.list_parent_indices(lists)
+            kept = pc.is_valid(ids)
+            flat, at = ids.filter(kept).to_numpy(zero_copy_only=False), row.filter(kept).to_numpy(zero_copy_only=False)
+            order = np.lexsort((flat, at))
+            offsets = np.r_[0, np.cumsum(np.bincount(at, minlength=len(lists)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[order].astype(np.int32)))], ["product", "ids"])
+
+    return listings.select("product", "phrases").mapInArrow(run, "product bigint, ids array<int>")
+
+
+def _pairs(rows: DataFrame, column: str = "ids") -> dict[tuple[int, int], int]:
+    """How many rows hold both numbers of each pair, the smaller first. Counted by batch, then added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, row = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_parent_indices(batch.column(0)).to_numpy(zero_copy_only=False)
+            codes = []
+            for d in range(1, len(ids)):
+                same = row[d:] == row[:-d]
+                if not same.any():
+                    break
+                codes.append((ids[:-d][same] << 32) | ids[d:][same])
+            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    counted = rows.select(column).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return {(r.code >> 32, r.code & 0xFFFFFFFF): r.n for r in counted.collect()}
+
+
+def _shares(products: DataFrame, value: np.ndarray) -> dict[int, float]:
+    """By value: the mean share of a product's listings that state it, over the products where one does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = pc.list_parent_indices(batch.column(1)).to_numpy(zero_copy_only=False)
+            ids, times = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            listings = batch.column(0).to_numpy(zero_copy_only=False)
+            code, at = np.unique(row.astype(np.int64) * len(value) + value[ids], return_inverse=True)
+            share = np.minimum(1.0, np.bincount(at, weights=times, minlength=len(code)) / listings[code // len(value)])
+            v = code % len(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(v).astype(np.int32)), pa.array(np.bincount(v, weights=share)[np.unique(v)]), pa.array(np.bincount(v)[np.unique(v)].astype(np.int64))], ["v", "s", "n"])
+
+    found = products.select("listings", "ids", "times").mapInArrow(run, "v int, s double, n bigint").groupBy("v").agg((F.sum("s") / F.sum("n")).alias("s"))
+    return {r.v: r.s for r in found.collect()}
+
+
 def _plain(phrases: set[str]) -> set[str]:
     """The phrases without those that only add words to another one (an automaton finds that one inside them)."""
 
@@ -84,34 +142,41 @@ def mined_dictionary(rows: DataFrame, text: str, hint: str) -> dict[str, tuple[s
     n, pure = {r.p: r.n for r in known if r.p in plain}, {r.p: r.hint for r in known if r.p in plain and r.most >= PURITY * r.n}
     if not n:
         return {}
-    listed = F.array(*[F.lit(p) for p in sorted(n)])
-    kept = durable(trusted.where("product is not null").select("product", F.array_sort(F.array_intersect("phrases", listed)).alias("ps")))
-    per = durable(kept.groupBy("product").agg(F.count("*").alias("listings"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ps")))).alias("ps")).where("listings > 1"))
-    pairs = lambda df: {(r.a, r.b): r.n for r in df.select(F.explode("ps").alias("a"), "ps").select("a", F.explode("ps").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-    met, beside = pairs(per), pairs(kept)
-    products = {r.p: r.n for r in per.select(F.explode("ps").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    phrases = sorted(n)
+    kept = durable(_numbered(trusted.where("product is not null"), phrases))
+    stated = kept.select("product", F.explode("ids").alias("id")).groupBy("product", "id").agg(F.count("*").cast("int").alias("n"))
+    held = stated.groupBy("product").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))  # at most one entry a phrase
+    sizes = kept.groupBy("product").agg(F.count("*").alias("listings")).where("listings > 1")
+    per = durable(sizes.join(held, "product").select("listings", F.col("x.id").alias("ids"), F.col("x.n").alias("times")))
+    met, beside = _pairs(per), _pairs(kept)
+    products = {r.id: r.n for r in per.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect()}
     many = per.count()
 
     same = _Groups()
-    for (a, b), k in met.items():
-        few, more = sorted((products[a], products[b]))
+    for (x, y), k in met.items():
+        a, b = phrases[x], phrases[y]
+        few, more = sorted((products[x], products[y]))
         noun = (a in pure) == (b in pure) and pure.get(a) == pure.get(b)
-        if noun and k >= (2 if a in pure else 4) and k >= REPLACED[a in pure] * few and k >= LIFT * few * more / many and beside.get((a, b), 0) <= max(TOGETHER * min(n[a], n[b]), 0.1 * n[a] * n[b] / total):
+        if noun and k >= (2 if a in pure else 4) and k >= REPLACED[a in pure] * few and k >= LIFT * few * more / many and beside.get((x, y), 0) <= max(TOGETHER * min(n[a], n[b]), 0.1 * n[a] * n[b] / total):
             same.join(a, b)
     value = {p: same.root(p) for p in n}
-
-    mapped = F.create_map(*[F.lit(x) for kv in sorted(value.items()) for x in kv])
-    stated = kept.join(per.select("product", "listings"), "product").select("product", "listings", F.explode(F.array_distinct(F.transform("ps", lambda p: mapped[p]))).alias("v"))
-    shares = {r.v: r.s for r in stated.groupBy("product", "listings", "v").agg((F.count("*") / F.col("listings")).alias("s")).groupBy("v").agg(F.avg("s").alias("s")).collect()}
-    held = kept.select(F.array_sort(F.array_distinct(F.transform("ps", lambda p: mapped[p]))).alias("ps"))
-    meet, every = pairs(held), kept.count()
-    size = {r.p: r.n for r in held.select(F.explode("ps").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    at = {p: i for i, p in enumerate(phrases)}
+    place = np.array([at[value[p]] for p in phrases])
+    shares = {phrases[v]: s for v, s in _shares(per, place).items()}
+    size: dict[str, int] = {}
+    for p in n:
+        size[value[p]] = size.get(value[p], 0) + n[p]
+    meet: dict[tuple[str, str], int] = {}
+    for (x, y), k in beside.items():
+        a, b = sorted((value[phrases[x]], value[phrases[y]]))
+        if a != b:
+            meet[a, b] = meet.get((a, b), 0) + k
 
     out = {p: ("kind", value[p]) for p in pure}
     slots: list[list[str]] = []
     variants = sorted({value[p] for p in n if p not in pure and shares.get(value[p], 0) >= CONSTANT}, key=lambda v: (-size.get(v, 0), v))
     for v in variants:
-        apart = lambda other: meet.get((min(v, other), max(v, other)), 0) <= MEETING * size[v] * size[other] / every  # noqa: B023, E731
+        apart = lambda other: meet.get((min(v, other), max(v, other)), 0) <= MEETING * size[v] * size[other] / total  # noqa: B023, E731
         home = next((s for s in slots if all(apart(o) for o in s)), None)
         if home is None:
             slots.append(home := [])
