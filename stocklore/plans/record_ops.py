@@ -136,7 +136,9 @@ def labelled_values(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT tender_id, corpus_id, coalesce(trim(regexp_replace(unit, '\\s+', ' ', 'g')), '') AS unit FROM material_description_corpus WHERE tender_id <> '' AND tender_reference IS NOT NULL")
 def page_tables(spark: SparkSession, sf: str) -> DataFrame:
     escaped = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    rows = read(spark, sf, CORPUS).where("tender_id <> '' and tender_reference is not null").withColumn("part", F.pmod(F.xxhash64("corpus_id"), F.lit(16)))
+    rows = read(spark, sf, CORPUS).where("tender_id <> '' and tender_reference is not null").select("tender_id", "corpus_id", "unit")
+    pages_of = rows.groupBy("tender_id").agg(F.ceil(F.count("*") / 200).alias("pages"))  # about 200 rows a page, however long a tender runs
+    rows = rows.join(pages_of, "tender_id").withColumn("part", F.pmod(F.xxhash64("corpus_id"), F.col("pages")))
     line = F.concat(F.lit("<tr><td>"), F.col("corpus_id"), F.lit("</td><td><b>"), escaped(F.col("unit")), F.lit("</b></td></tr>"))
     html = F.concat(F.lit("<html><body><table><tr><th>x</th></tr><tr><td>1</td></tr></table><table><tr><th>Record</th><th>UNIT</th></tr>"), F.array_join(F.collect_list(line), ""), F.lit("</table></body></html>"))
     pages = documents_extract.pages(rows.groupBy("tender_id", "part").agg(html.alias("html")), "tender_id", "html")
