@@ -35,21 +35,53 @@ TOGETHER = 0.02  # share of a wording's listings that may hold the other one as
 CONSTANT = 0.68  # mean share of a product's listings that state a value, where one does
 MEETING = 0.1  # how often values of one attribute may stand in one listing, against chance
 
-FIELD = r"[,;|\n]|\s[-–/]\s"
+FIELD = r"[,;|\n]|[ \t\n\x0b\f\r][-–/][ \t\n\x0b\f\r]"
 WORDS = r"^[a-z][a-z/]*( [a-z/]+){0,3}$"
-MODEL = r"\b(?:series|type|model|sr)\b[\s.:#-]*([a-z]\d{3})\b"
+MODEL = r"\b(?:series|type|model|sr)\b[ \t\n\x0b\f\r.:#-]*(?P<model>[a-z][0-9]{3})\b"
 COUNTED = re.compile(r"\bcores?\b")  # numbers in words are read as measures
-CODE = r"(?<![a-z0-9])([a-z]{2,3}\d[0-9a-z]{2,4})\b"
+CODE = re.compile(r"(?<![a-z0-9])([a-z]{2,3}[0-9][0-9a-z]{2,4})\b", re.ASCII)
 
 
 def _listings(rows: DataFrame, text: str, hint: str) -> DataFrame:
-    """Trusted listings: ``hint``, ``product`` (null without a series code) and the distinct ``phrases`` of words."""
-    t = F.regexp_replace(F.lower(F.col(text)), r"[ \t]+", " ")
-    wordy = F.filter(F.split(t, FIELD), lambda f: ~f.rlike(r"\d"))
-    phrases = F.array_distinct(F.filter(F.transform(wordy, lambda f: F.btrim(f, F.lit(" .:!()\"'•–*-"))), lambda f: f.rlike(WORDS)))
-    model, codes = F.regexp_extract(t, MODEL, 1), F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(CODE), F.lit(1))))
-    product = F.when(model != "", F.xxhash64(F.lower(F.trim(hint)), model, F.array_join(codes, " ")))
-    return rows.where(f"trim({hint}) <> '' and {text} is not null").select(F.lower(F.trim(hint)).alias("hint"), product.alias("product"), phrases.alias("phrases"))
+    """Trusted listings: ``hint``, ``product`` (null without a series code) and the distinct ``phrases`` of words.
+
+    Texts are split by batch and each distinct field of a batch is read once. Codes never span a mark between fields.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pc.replace_substring_regex(batch.column(1), r"[ \t]{2,}|\t", " ")
+            fields = pc.split_pattern_regex(t, FIELD)
+            row = pc.list_parent_indices(fields).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = fields.flatten().dictionary_encode()
+            place, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            bare = pc.utf8_trim(distinct, "\r .:!()\"'•–*-")
+            wordy = pc.and_not(pc.match_substring_regex(bare, WORDS), pc.match_substring_regex(distinct, "[0-9]")).to_numpy(zero_copy_only=False)
+            lists = [_distinct(row, place, len(t), len(bare), np.flatnonzero(wordy), bare.filter(pa.array(wordy)))]
+            likely = np.flatnonzero(pc.match_substring_regex(distinct, "[a-z]{2}[0-9][0-9a-z]{2}").to_numpy(zero_copy_only=False))
+            codes = [(i, c) for i, f in zip(likely, distinct.take(pa.array(likely)).to_pylist()) for c in CODE.findall(f)]
+            lists.append(_distinct(row, place, len(t), len(bare), np.array([i for i, _ in codes], np.int64), pa.array([c for _, c in codes], pa.string())))
+            model = pc.struct_field(pc.extract_regex(t, MODEL), "model")
+            yield pa.RecordBatch.from_arrays([batch.column(0), model, lists[1], lists[0]], ["hint", "model", "codes", "phrases"])
+
+    trusted = rows.where(f"trim({hint}) <> '' and {text} is not null").select(F.lower(F.trim(hint)).alias("hint"), F.lower(F.col(text)).alias("t"))
+    found = trusted.mapInArrow(run, "hint string, model string, codes array<string>, phrases array<string>")
+    return found.select("hint", F.when(F.col("model").isNotNull(), F.xxhash64("hint", "model", F.array_join("codes", " "))).alias("product"), "phrases")
+
+
+def _distinct(row: np.ndarray, place: np.ndarray, rows: int, places: int, at: np.ndarray, values: pa.Array) -> pa.Array:
+    """For each of ``rows`` the sorted distinct ``values`` of its fields: ``values[k]`` stands in the field numbered ``at[k]``, field ``place[i]`` in row ``row[i]``."""
+    names = values.dictionary_encode()
+    order = np.argsort(np.array(names.dictionary.to_pylist(), object), kind="stable") if len(names.dictionary) else np.zeros(0, np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ids = rank[names.indices.to_numpy(zero_copy_only=False)] if len(at) else np.zeros(0, np.int64)
+    first = np.searchsorted(at, np.arange(places + 1))  # ``at`` is sorted; a field may hold several values
+    many = np.diff(first)[place]
+    start = np.repeat(first[place] - np.r_[0, np.cumsum(many)[:-1]] if len(place) else many, many)
+    code = np.unique(np.repeat(row, many) * max(1, len(order)) + ids[start + np.arange(len(start))])
+    offsets = np.r_[0, np.cumsum(np.bincount(code // max(1, len(order)), minlength=rows))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), names.dictionary.take(pa.array(order[code % max(1, len(order))])))
 
 
 def _numbered(listings: DataFrame, phrases: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ _ORDER = re.compile(r"\b(?:qty|quantity|required|reqd)\b")
 _STATEMENT = re.compile(r"\b(?:(?:order|total|required|reqd)\s+)?(?:qty|quantity)(?:\s+(?:required|reqd))?[\s.:=-]*\+?[\d.,]+\s*[a-z.]*\d?|\+?[\d.,]+\s*[a-z.]+\d?(?:\s+(?:metre|nos))?\s+(?:required|reqd)\b")
 _HIDDEN = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
 _WORDS = re.compile(r"[a-z][a-z/]*")
+_ONLY_MODEL = re.compile(r"(?:series|type|model|sr)[\s.:#-]+([a-z])[-/. ]?(\d{3})", re.ASCII)
 _DIGITS = str.maketrans("oqdilzsb", "00011258")
 _LETTERS = str.maketrans("015823", "oisbze")
 
@@ -42,10 +43,18 @@ def dictionary(mined: dict[str, tuple[str, str]], seed: dict[str, tuple[str, str
 
 def segments(text: str) -> list[str]:
     """Fields of a listing, split at commas, semicolons, bars and spaced dashes. A text without such marks is one field, less its foreign words."""
+    return [p for p in map(_bare, _fields(text)) if p]
+
+
+def _fields(text: str) -> list[str]:
     parts = _STRONG.split(text)
     if len(parts) < 3:
         parts = [text if text.isascii() else " ".join(w for w in text.split() if w.isascii())]
-    return [p for p in (_SPACE.sub(" ", x).strip(" .:!()\"'•–-*") for x in parts) if p]
+    return parts
+
+
+def _bare(field: str) -> str:
+    return _SPACE.sub(" ", field).strip(" .:!()\"'•–-*")
 
 
 class ListingParser:
@@ -62,7 +71,7 @@ class ListingParser:
         if phrases:
             self.automaton.make_automaton()
         self.kinds = [(v, frozenset(v)) for v in sorted(v for v, (slot, _) in phrases.items() if slot == "kind" and len(v) > 5)]
-        self.memo: dict[str, list[tuple[str, str]]] = {}
+        self.memo: dict[str, tuple[str, list[tuple[str, str]]]] = {}  # by field as written: the bare field and what it states
         self.runs: dict[str, tuple[float, str | None]] = {}
         self.limit = memo
 
@@ -85,6 +94,20 @@ class ListingParser:
         ratio, near = max((self._near(r) for r in runs if len(r) > 5), key=lambda x: x[0], default=(0.0, None))
         return ("kind", self.exact[near][1]) if near and ratio > 0.84 else None
 
+    def _field(self, field: str) -> tuple[str, list[tuple[str, str]]]:
+        """The bare field and what it states; remembered but for series codes alone, which hardly recur and read fast."""
+        s = _bare(field)
+        m = _ONLY_MODEL.fullmatch(s)
+        if m and s not in self.exact:
+            return s, [("model", m[1] + m[2])]
+        if len(self.memo) >= self.limit:
+            self.memo.clear()
+        known = self.memo.get(s)
+        if known is None:
+            known = self.memo[s] = (s, self._segment(s) if s else [])
+        self.memo[field] = known
+        return known
+
     def _segment(self, s: str) -> list[tuple[str, str]]:
         hit = self.exact.get(s)
         if hit:
@@ -136,21 +159,18 @@ class ListingParser:
         slots: dict[str, str] = {}
         odd: list[str] = []
         text = text.lower()
-        if _ORDER.search(text):
+        if ("qty" in text or "quantity" in text or "req" in text) and _ORDER.search(text):
             text = _STATEMENT.sub(" ", text)  # the ordered quantity is no measure of the item
-        parts = segments(text)
-        for s in parts:
-            found = self.memo.get(s)
-            if found is None:
-                if len(self.memo) >= self.limit:
-                    self.memo.clear()
-                found = self.memo[s] = self._segment(s)
+        fields = _fields(text)
+        for field in fields:
+            s, found = self.memo.get(field) or self._field(field)
             for slot, value in found:
-                slots.setdefault(slot, value)
-            if not found:
+                if slot not in slots:
+                    slots[slot] = value
+            if s and not found:
                 odd.append(s)
         if "kind" not in slots and ("model" in slots or "grade" in slots):
-            near = self._typo(" , ".join(odd or parts))
+            near = self._typo(" , ".join(odd or filter(None, map(_bare, fields))))
             if near:
                 slots[near[0]] = near[1]
         return slots

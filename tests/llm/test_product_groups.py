@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from stocklore.llm.product_groups import product_groups
+from stocklore.llm.product_groups import FIXED, MARK, parsed, product_groups
 from stocklore.llm.product_parse import ListingParser, dictionary, seed_phrases, segments
 
 GRADES = ["QX263", "NIM753TX"]
@@ -70,3 +70,32 @@ def test_mining_without_a_seed(spark):
     assert len({slots[frozenset(g)] for g in mounts}) == len({slots[frozenset(g)] for g in coats}) == 1 and slots[frozenset(mounts[0])] != slots[frozenset(coats[0])]
     assert mined_dictionary(spark.createDataFrame([], "t string, h string"), "t", "h") == {}
     assert dictionary({"a": ("v1", "a"), "b": ("v1", "a")}, {"b": ("form", "x"), "c": ("form", "y")}) == {"a": ("form", "x"), "b": ("form", "x"), "c": ("form", "y")}
+
+
+def test_fields_are_read_once(spark):
+    class Counted(ListingParser):
+        calls = 0
+
+        def _segment(self, s):
+            self.calls += 1
+            return super()._segment(s)
+
+    p = Counted(GRADES, seed_phrases(), memo=50)
+    for i in range(500):
+        got = p.parse(f"Gate Valve,  25 MM ; grade QX263 | {('Series: b%03d', 'TYPE B-%03d')[i % 2] % i}")
+        assert got == {"kind": "gate valve", "length": "25000", "grade": "qx263", "model": f"b{i:03d}"}
+    assert p.calls < 10  # series codes don't push the recurring fields out of memory
+    slots = (*FIXED, "form")
+    rows = spark.createDataFrame([("M1", "gate valve, flgd, 25 mm, series b497"), ("M2", "notice"), ("M3", None)], "k string, t string")
+    got = parsed(rows, "k", "t", GRADES, seed_phrases(), slots).collect()
+    assert [(r._id, dict(zip(slots, r._s.split(MARK), strict=True))) for r in got] == [("M1", dict.fromkeys(slots, "") | {"kind": "gate valve", "form": "flanged", "length": "25000", "model": "b497"})]
+
+
+def test_trusted_listings(spark):
+    from stocklore.llm.product_mining import _listings
+
+    texts = ["Foot Fixed,\ttin   coat\r\nfoot fixed; SERIES - B497 | AB123 / cd456x, ab123x", "cd456x;ab123x - ab123, type b497", "series b497, cd456x", "no code: a1b2, long life", "", None]
+    got = _listings(spark.createDataFrame([(t, " Pump ") for t in texts] + [("x", " ")], "t string, h string"), "t", "h").collect()
+    assert [r.phrases for r in got] == [["foot fixed", "series", "tin coat"], [], [], ["long life"], []] and {r.hint for r in got} == {"pump"}
+    first, second, third, *others = (r["product"] for r in got)
+    assert first == second != third and None not in (first, third) and others == [None, None]
