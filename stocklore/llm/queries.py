@@ -135,14 +135,18 @@ def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_limits(spark: SparkSession, sf: str) -> DataFrame:
-    """Every source, and whether its documents keep within their repeats and its share is nearer to the target than one of its documents."""
+    """Every source, and whether its documents keep within their repeats and its share is nearer to the target than one of its documents.
+
+    Targets are those of the mixture: shares of the sources that can come (with tokens, a share and repeats), scaled to sum to 1; of others nothing may come.
+    """
     from .mixture import mixed_sizes, shares
 
     weights, sized = _read(spark, sf, "source_weights"), _slim(spark, sf)
-    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    longest = sized.where("n_tokens > 0").groupBy("source").agg(F.max("n_tokens").alias("longest"))
     found = shares(mixed_sizes(sized, weights), weights).join(longest, "source", "left")
-    every = F.sum("tokens").over(Window.partitionBy())  # one row a source
-    near = F.abs(F.col("tokens") - F.col("target_share") * every) <= F.coalesce("longest", F.lit(0)) + 1
+    comes = F.col("longest").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    every, wanted = (F.sum(x).over(Window.partitionBy()) for x in ("tokens", F.when(comes, F.col("target_share"))))  # one row a source
+    near = F.when(comes, F.abs(F.col("tokens") - F.col("target_share") / wanted * every) <= F.col("longest") + 1).otherwise(F.col("tokens") == 0)
     return found.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), near.alias("share_kept"))
 
 

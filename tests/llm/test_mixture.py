@@ -39,3 +39,16 @@ def test_every_share_is_within_one_document(spark):
     for r in shares(mixed_sizes(sized, weights), weights).collect():
         longest = max(n for _, s, n in rows if s == r.source)
         assert abs(r.tokens - aim.wanted[r.source]) <= longest and r.most_repeats <= r.max_repeats, r
+
+
+def test_limits_where_a_listed_source_has_no_documents(spark, tmp_path, monkeypatch):
+    from stocklore.llm import mixture as module
+    from stocklore.llm.queries import p9_limits
+
+    docs = [(i, "ab"[i % 2], "some words " * (5 + i % 7)) for i in range(400)] + [(900, "unrepeated", "words"), (901, "blank", "")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.3, 2), ("b", 0.2, 2), ("none", 0.2, 2), ("blank", 0.2, 2), ("unrepeated", 0.1, 0)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_weights.parquet")
+    assert {tuple(r) for r in p9_limits(spark, str(tmp_path)).collect()} == {(s, True, True) for s in ("a", "b", "none", "blank", "unrepeated")}
+    whole = module.mixed_sizes
+    monkeypatch.setattr(module, "mixed_sizes", lambda *args: whole(*args).where("source = 'a' or doc_id % 3 = 0"))  # two thirds of a source left out
+    assert {r.source: r.share_kept for r in p9_limits(spark, str(tmp_path)).collect()} == {"a": False, "b": False, "none": True, "blank": True, "unrepeated": True}
